@@ -17,11 +17,16 @@ from txnguard.operators import calibrate, policy, windows
 from txnguard.sources.tables import XGB_T_HIGH, XGB_T_LOW, txn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, oracle: str | None = None):
+    """Register a query; ``oracle`` is its DuckDB SQL (omit when the
+    operator is not SQL-expressible)."""
     def deco(fn):
         QUERIES[name] = fn
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
         return fn
     return deco
 
@@ -114,3 +119,15 @@ def q_triage(spark, sf_dir):
     s = scored_txn(spark, sf_dir)
     agg = s.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
     return agg.withColumn("rate", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
+
+
+def load_all() -> None:
+    """Import every query module so their ``@query`` registrations run."""
+    import importlib
+    for mod in ("bind_quality", "bind_aggregates", "bind_metrics", "bind_functions", "bind_joins",
+                "bind_review", "bind_drift", "bind_ml", "bind_streaming"):
+        try:
+            importlib.import_module(f"txnguard.plans.{mod}")
+        except ModuleNotFoundError as e:
+            if e.name != f"txnguard.plans.{mod}":
+                raise

@@ -84,7 +84,9 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[s
         w_g = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)
         starts = totals.select(group_col, *[F.coalesce(F.sum(c).over(w_g), F.lit(0)).alias(f"__gs_{c}")
                                             for c in sum_cols])
-        res = res.join(F.broadcast(starts), group_col)
+        # one row per group: Spark broadcasts it only when its measured
+        # size is under the auto-broadcast threshold.
+        res = res.join(starts, group_col)
         for c in sum_cols:
             res = res.withColumn(f"{prefix}{c}", F.col(f"{prefix}{c}") - F.col(f"__gs_{c}"))
         res = res.drop(*[f"__gs_{c}" for c in sum_cols])
@@ -138,7 +140,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                              F.col("__t.r").alias("__r"))
     # targets: (#groups x #probs x 2) rows -> broadcast; the cumulative table
     # stays distributed and is streamed through a range condition.
-    hit = cum.join(F.broadcast(targets),
+    if key is not None:  # no grouping: len(probs) * 2 rows, a proven bound
+        targets = F.broadcast(targets)
+    hit = cum.join(targets,
                    (F.col(grp) == F.col("__tg")) & (F.col("__r") > F.col("cum___c") - F.col("__c"))
                    & (F.col("__r") <= F.col("cum___c")))
     hit = hit.select(F.col("__tg").alias(grp), "p", "__frac", "__w", F.col(value_col).alias("__v"))
