@@ -112,7 +112,7 @@ def top_categories(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame
 def label_correlation(df: DataFrame, cols: Sequence[str], label: str, k: int = 10) -> DataFrame:
     agg = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
     long = unpivot(agg, cols, name="feature", value="corr")
-    w = Window.orderBy(F.abs("corr").desc_nulls_last(), F.col("feature"))
+    w = Window.orderBy(F.col("abs_corr").desc_nulls_last(), F.col("feature"))
     return (long.select("feature", F.round(F.abs("corr"), 4).alias("abs_corr"))
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
@@ -246,7 +246,7 @@ def run_health(df: DataFrame, run: str, fail_rate: Column, p95: Column, failures
     degraded = (fail_rate > max_fail) | (p95 > max_p95)
     notes = F.array_compact(F.array(
         F.when(fail_rate > max_fail, F.lit("failure_rate_above_1pct")),
-        F.when(p95 > max_p95, F.lit("p95_above_2000ms"))))
+        F.when(p95 > max_p95, F.lit(f"p95_above_{max_p95:g}ms"))))
     return df.select(run, F.when(degraded, "degraded").otherwise("healthy").alias("status"),
                      F.array_join(notes, ";").alias("notes"))
 
@@ -312,14 +312,12 @@ def throughput_over_time(df: DataFrame, run: str, ts: str, latency: str, window:
     wdf = wdf.select(run, F.col("w.start").alias("window_start"), "lat")
     base = wdf.groupBy(run, "window_start").agg(F.count(F.lit(1)).alias("n"))
     start = df.groupBy(run).agg(F.min(tsc).alias("__s"))
-    wsec = F.expr(f"CAST(INTERVAL {window} AS INTERVAL SECOND)")
     secs = F.unix_seconds(F.col("window_start")) - F.unix_seconds(F.col("__s"))
     q = exact_quantiles(wdf.withColumn("__k", F.concat_ws("|", F.col(run).cast("string"),
                                                           F.col("window_start").cast("string"))),
                         "lat", [0.95], ["__k"])
     out = base.join(start, run).withColumn("__k", F.concat_ws("|", F.col(run).cast("string"),
                                                             F.col("window_start").cast("string")))
-    del wsec
     return (out.join(q, "__k", "left")
             .select(run, "window_start", F.greatest(secs, F.lit(0)).alias("seconds_since_start"), "n",
                     r6(F.col("n") / F.lit(_window_seconds(window))).alias("rps"), r6(F.col("q")).alias("p95")))

@@ -130,7 +130,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     F.col("__n") - 1)
         t = t.where(F.col("__n") >= 2).select(
             grp, "p", j.alias("__rlo"), (j + 1).alias("__rhi"),
-            ((i * m - j * 100).cast("double") / 100.0).alias("__frac"))
+            (i * m - j * 100).cast("double").alias("__frac"))
     else:
         raise ValueError(method)
     targets = t.select(grp, "p", "__frac", F.explode(F.array(
@@ -152,7 +152,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     if method == "linear":
         q = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")
     else:
-        q = (F.col("__lo") * (1 - F.col("__frac")) + F.col("__hi") * F.col("__frac"))
+        # same operation order as statistics.quantiles: (lo*(n-d) + hi*d) / n
+        q = (F.col("__lo") * (F.lit(100.0) - F.col("__frac")) + F.col("__hi") * F.col("__frac")) / F.lit(100.0)
     res = res.select(grp, "p", q.alias("q"))
     if key is not None:
         return res.drop("__g")
