@@ -198,7 +198,6 @@ def binom_cdf_half(k: int, n: int) -> float:
     return 1.0 - front * _betacf(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
 def _mcnemar_p(n01: pd.Series, n10: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(n01.astype("int64"), n10.astype("int64")):
@@ -210,7 +209,7 @@ def _mcnemar_p(n01: pd.Series, n10: pd.Series) -> pd.Series:
 def mcnemar(df: DataFrame, label: str, pred_a: str, pred_b: str, alpha: float = 0.05) -> DataFrame:
     """Exact McNemar test on the discordant pairs (one-row result)."""
     c = mcnemar_counts(df, label, pred_a, pred_b)
-    p = _mcnemar_p(F.col("n01"), F.col("n10"))
+    p = F.pandas_udf(_mcnemar_p, "double")(F.col("n01"), F.col("n10"))
     return c.withColumn("p_value", r6(p)).withColumn(
         "verdict", F.when(F.col("p_value") < alpha, "significant").otherwise("not significant"))
 
