@@ -191,9 +191,16 @@ def outcome_label(x) -> Column:
     return F.when(u == "BLOCK", 1).when(u == "APPROVE", 0)
 
 
+CHECKOUT_KEYS = ["amount", "country", "ip_country", "currency", "card_currency"]
+
+
 def payload_kind(m) -> Column:
-    has_proc = F.exists(F.map_keys(_c(m)), lambda k: k.startswith("num__") | k.startswith("cat__"))
-    return F.when(has_proc, "processed").otherwise("checkout")
+    """``processed`` when some key is ``num__*``/``cat__*`` and no checkout
+    key is present, else ``checkout``."""
+    keys = F.map_keys(_c(m))
+    has_proc = F.exists(keys, lambda k: k.startswith("num__") | k.startswith("cat__"))
+    has_checkout = F.exists(keys, lambda k: k.isin(CHECKOUT_KEYS))
+    return F.when(has_proc & ~has_checkout, "processed").otherwise("checkout")
 
 
 def active_flags(m, limit: int = 25) -> Column:
@@ -232,13 +239,39 @@ def coalesce_truthy(*cols) -> Column:
     return F.coalesce(*[F.nullif(F.trim(_c(c).cast("string")), F.lit("")) for c in cols])
 
 
+# Display names of model features and label prefixes.
+FRIENDLY_NAMES = {
+    "num__txn_count_5m": "Txn count (5 min)",
+    "num__txn_count_30m": "Txn count (30 min)",
+    "num__txn_count_60m": "Txn count (60 min)",
+    "num__Amount": "Transaction amount",
+    "num__amount_zscore": "Amount z-score",
+    "num__avg_amount_7d": "Avg amount (7 day)",
+    "num__avg_spend_user_30d": "Avg spend (30 day)",
+    "num__geo_distance_km": "Geo distance (km)",
+    "num__ip_reputation": "IP reputation score",
+    "num__account_age_days": "Account age (days)",
+    "num__token_age_days": "Token age (days)",
+    "cat__is_proxy_vpn_True": "VPN / Proxy = True",
+    "cat__is_proxy_vpn_False": "VPN / Proxy = False",
+    "cat__is_new_device_True": "New device = True",
+    "cat__is_new_device_False": "New device = False",
+    "cat__country_mismatch_True": "Country mismatch",
+    "cat__night_txn_True": "Night transaction",
+    "cat__weekend_txn_True": "Weekend transaction",
+}
+FRIENDLY_PREFIXES = [("cat__device_os_", "Device: "), ("cat__browser_", "Browser: "),
+                     ("cat__ip_country_", "IP country: "), ("cat__billing_country_", "Billing: "),
+                     ("cat__shipping_country_", "Shipping: ")]
+
+
 def friendly_feature_name(name) -> Column:
-    """Feature id -> display label: strip ``num__``/``cat__``, a one-hot
-    suffix becomes ``= value``, underscores become spaces."""
+    """Feature id -> display label: dictionary, ``num__V*`` upper-cased
+    without prefix, known one-hot prefixes, else unchanged."""
     n = _c(name)
-    base = F.regexp_replace(n, r"^(num|cat)__", "")
-    onehot = F.regexp_extract(base, r"^(.*)_([^_]+)$", 1)
-    val = F.regexp_extract(base, r"^(.*)_([^_]+)$", 2)
-    return F.when(n.startswith("cat__") & (onehot != ""),
-                  F.concat(F.regexp_replace(onehot, "_", " "), F.lit(" = "), val)) \
-        .otherwise(F.regexp_replace(base, "_", " "))
+    names = F.create_map(*[F.lit(x) for kv in FRIENDLY_NAMES.items() for x in kv])
+    out = F.when(F.element_at(names, n).isNotNull(), F.element_at(names, n)) \
+        .when(n.startswith("num__V"), F.upper(F.regexp_replace(n, "^num__", "")))
+    for prefix, label in FRIENDLY_PREFIXES:
+        out = out.when(n.startswith(prefix), F.concat(F.lit(label), F.substring(n, len(prefix) + 1, 1 << 20)))
+    return out.otherwise(n)

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 TXN = """txn AS (
   SELECT event_id AS txn_id, user_id AS device_id, ts,
-         epoch_ms(ts) // 1000 AS epoch_s,
-         (epoch_ms(ts) // 1000) // 144 AS t,
+         CAST(round(epoch_us(ts) / 1000.0) AS BIGINT) // 1000 AS epoch_s,
+         (CAST(round(epoch_us(ts) / 1000.0) AS BIGINT) // 1000) // 144 AS t,
          value AS amount,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          event_type,

@@ -30,6 +30,15 @@ def idiv(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Whole epoch seconds of a timestamp, taken from the millisecond-rounded
+    value: stored timestamps may carry sub-microsecond digits, which readers
+    truncate or round differently; rounding to milliseconds first makes the
+    second boundary reader-independent."""
+    ms = F.round(F.unix_micros(ts) / 1000.0).cast("long")
+    return idiv(ms, F.lit(1000))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -44,7 +53,7 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions bound to the ``events`` table (see module doc)."""
     ev = read_table(spark, sf_dir, "events")
     ts = utc_ts("ts")
-    epoch = F.unix_timestamp(ts)
+    epoch = epoch_seconds(ts)
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.col("event_id").alias("txn_id"),
