@@ -37,25 +37,28 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: Sequence[
                     beta: float = 1.0) -> DataFrame:
     """Precision / recall / F-beta at every cut-off (``score >= t`` flags).
 
-    Each row is binned by the number of cut-offs it passes
-    (``size(filter(grid, t -> t <= s))``); counts per bin (at most
+    Each row is binned by the number of cut-offs it passes (``Bucketizer``
+    binary search over the sorted grid); counts per bin (at most
     len(grid)+1 rows, a fixed bound) are summed from the top, so the rows
     are read once and never multiplied by the grid size.
     """
     grid = [float(t) for t in thresholds]
-    order = sorted(range(len(grid)), key=lambda i: grid[i])
-    arr = F.array(*[F.lit(grid[i]) for i in order])
-    s_col = F.col(score)
-    binned = (df.where(s_col.isNotNull())
-              .select(F.size(F.filter(arr, lambda t: t <= s_col)).alias("b"), F.col(label).alias("y"))
-              .groupBy("b").agg(F.count_if(F.col("y") == 1).alias("pos"),
-                               F.count_if(F.col("y") == 0).alias("neg")))
+    uniq = sorted(set(grid))
+    # Bucketizer: JVM binary search over the sorted cut-offs; bucket b holds
+    # scores passing exactly b cut-offs.
+    from pyspark.ml.feature import Bucketizer
+    bz = Bucketizer(splits=[float("-inf")] + uniq + [float("inf")], inputCol="__s", outputCol="__b",
+                    handleInvalid="skip")
+    rows = df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("__s"),
+                                                      F.col(label).alias("y"))
+    binned = (bz.transform(rows).groupBy(F.col("__b").cast("int").alias("b"))
+              .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")))
     spark = df.sparkSession
-    idx = spark.createDataFrame([(r + 1, grid[i], i) for r, i in enumerate(order)],
-                                "b int, t double, grid_pos int")
+    rank = {t: r + 1 for r, t in enumerate(uniq)}
+    idx = spark.createDataFrame([(rank[t], t, i) for i, t in enumerate(grid)], "b int, t double, grid_pos int")
     from pyspark.sql import Window
     w = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = (idx.select("b").unionByName(binned.select("b")).distinct()
+    full = (idx.select("b").distinct().unionByName(binned.select("b")).distinct()
             .join(binned, "b", "left").fillna(0, ["pos", "neg"])
             .select("b", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp")))
     totals = binned.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"),

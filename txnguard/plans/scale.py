@@ -27,6 +27,23 @@ from txnguard.session import ensure_checkpoint_dir
 
 _PID = "__pid"
 
+# Above this many rows the order-dependent helpers use the distributed
+# range-partition + checkpoint path; at or below it one task sorts the
+# (already collapsed) rows, which is cheaper than the extra jobs.  The row
+# count is measured first, so the single-task path only ever sees a
+# bounded input.
+SINGLE_TASK_ROWS_CONF = "txnguard.singleTaskRowLimit"
+SINGLE_TASK_ROWS_DEFAULT = 1_000_000
+
+
+def _single_task_ok(df: DataFrame) -> bool:
+    spark = df.sparkSession
+    limit = int(spark.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
+    if limit <= 0:
+        return False
+    # bounded probe: stops counting once the limit is exceeded
+    return df.limit(limit + 1).count() <= limit
+
 
 def _n_parts(df: DataFrame) -> int:
     spark = df.sparkSession
@@ -46,6 +63,8 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str | Column],
     The order must be total (end it with a unique key); ties are otherwise
     broken arbitrarily, as in any sort.
     """
+    if _single_task_ok(df):
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
     ck = _sorted_checkpoint(df, order_cols)
     mid = F.monotonically_increasing_id()
     local = ck.withColumn("__local", mid - F.shiftleft(F.col(_PID).cast("long"), 33))
@@ -69,6 +88,10 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[s
     """
     if group_col is not None and order_cols[0] != group_col:
         raise ValueError("group_col must lead order_cols")
+    if _single_task_ok(df):
+        part = [group_col] if group_col is not None else []
+        w = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     ck = _sorted_checkpoint(df, order_cols)
     part = ck.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in sum_cols])
     w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
