@@ -125,7 +125,7 @@ def load_all() -> None:
     """Import every query module so their ``@query`` registrations run."""
     import importlib
     for mod in ("bind_quality", "bind_aggregates", "bind_metrics", "bind_policy", "bind_functions",
-                "bind_joins", "bind_topk", "bind_review", "bind_drift", "bind_ml", "bind_streaming"):
+                "bind_joins", "bind_topk", "bind_review", "bind_io", "bind_drift", "bind_ml", "bind_streaming"):
         try:
             importlib.import_module(f"txnguard.plans.{mod}")
         except ModuleNotFoundError as e:
