@@ -42,36 +42,37 @@ def opened_reviews(dec):
 
 
 def review_events(dec):
+    """Event log of the opened reviews, generated in one pass: every review
+    row emits an array of its events, exploded (no per-event-type rescans)."""
     rv = opened_reviews(dec)
+    c = F.col
     n = F.lit(None)
 
-    def ev(df, seq, dt, typ, analyst=n, decision=n, notes=n, score=n, err=n, bucket=n, shap=n, rid=F.col("review_id")):
-        return df.select(rid.alias("review_id"), F.lit(seq).cast("long").alias("event_seq"),
-                         (F.col("created") + dt).cast("long").alias("ts"), F.lit(typ).alias("event_type"),
-                         analyst.cast("string").alias("analyst"), decision.cast("string").alias("decision"),
-                         notes.cast("string").alias("notes"), score.cast("double").alias("score_xgb"),
-                         err.cast("double").alias("ae_error"), bucket.cast("string").alias("ae_bucket"),
-                         shap.cast("string").alias("shap_path"))
-    c = F.col
-    parts = [
-        ev(rv, 0, 0, "opened", score=c("score_xgb"), err=c("ae_error"), bucket=c("ae_bucket")),
-        ev(rv.where(F.pmod(c("txn_id"), F.lit(2)) == 0), 1, 60, "assigned",
-           analyst=F.concat(F.lit("analyst_"), F.pmod(c("txn_id"), F.lit(5)).cast("string"))),
-        ev(rv.where(F.pmod(c("txn_id"), F.lit(7)) == 0), 2, 120, "shap_attached",
-           shap=F.concat(F.lit("shap/"), c("review_id"), F.lit(".png"))),
-        ev(rv.where(F.pmod(c("txn_id"), F.lit(5)) == 0), 3, 1800, "rescored",
-           score=F.least(F.lit(1.0), c("score_xgb") + 0.01), err=c("ae_error") * 1.1, bucket=c("ae_bucket")),
-        ev(rv.where(F.pmod(c("txn_id"), F.lit(3)) == 0), 4, 3600, "closed",
-           decision=F.when(c("label") == 1, "BLOCK").otherwise("APPROVE"), notes=F.lit("closed by analyst")),
-        ev(rv.where(F.pmod(c("txn_id"), F.lit(6)) == 0), 5, 7200, "assigned", analyst=F.lit("late_analyst")),
-        ev(dec.where((c("decision") == "APPROVE") & (F.pmod(c("txn_id"), F.lit(50)) == 0)), 4, 3600, "closed",
-           decision=F.lit("BLOCK"), notes=F.lit("unknown review"),
-           rid=F.concat(F.lit("rev_missing_"), c("txn_id").cast("string"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def ev(cond, seq, dt, typ, analyst=n, decision=n, notes=n, score=n, err=n, bucket=n, shap=n):
+        e = F.struct(F.lit(seq).cast("long").alias("event_seq"), (c("created") + dt).cast("long").alias("ts"),
+                     F.lit(typ).alias("event_type"), analyst.cast("string").alias("analyst"),
+                     decision.cast("string").alias("decision"), notes.cast("string").alias("notes"),
+                     score.cast("double").alias("score_xgb"), err.cast("double").alias("ae_error"),
+                     bucket.cast("string").alias("ae_bucket"), shap.cast("string").alias("shap_path"))
+        return F.when(cond, e)
+
+    def every(m):
+        return F.pmod(c("txn_id"), F.lit(m)) == 0
+    events = F.array_compact(F.array(
+        ev(F.lit(True), 0, 0, "opened", score=c("score_xgb"), err=c("ae_error"), bucket=c("ae_bucket")),
+        ev(every(2), 1, 60, "assigned", analyst=F.concat(F.lit("analyst_"), F.pmod(c("txn_id"), F.lit(5)).cast("string"))),
+        ev(every(7), 2, 120, "shap_attached", shap=F.concat(F.lit("shap/"), c("review_id"), F.lit(".png"))),
+        ev(every(5), 3, 1800, "rescored", score=F.least(F.lit(1.0), c("score_xgb") + 0.01), err=c("ae_error") * 1.1,
+           bucket=c("ae_bucket")),
+        ev(every(3), 4, 3600, "closed", decision=F.when(c("label") == 1, "BLOCK").otherwise("APPROVE"),
+           notes=F.lit("closed by analyst")),
+        ev(every(6), 5, 7200, "assigned", analyst=F.lit("late_analyst"))))
+    known = rv.select("review_id", F.explode(events).alias("e")).select("review_id", "e.*")
+    unknown_src = dec.where((c("decision") == "APPROVE") & every(50))
+    unknown = unknown_src.select(F.concat(F.lit("rev_missing_"), c("txn_id").cast("string")).alias("review_id"),
+                                 ev(F.lit(True), 4, 3600, "closed", decision=F.lit("BLOCK"),
+                                    notes=F.lit("unknown review")).alias("e")).select("review_id", "e.*")
+    return known.unionByName(unknown)
 
 
 STORE_SQL = """dec AS (
