@@ -105,8 +105,8 @@ def histogram(df: DataFrame, col: Column | str, bins: int = 10, group: Sequence[
 def top_categories(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
     long = unpivot(df, cols, name="column", value="value", cast="string")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    from txnguard.plans.scale import top_k_per_group
+    return top_k_per_group(counts, ["column"], [F.col("n").desc(), F.col("value")], k, tie_col="value")
 
 
 def label_correlation(df: DataFrame, cols: Sequence[str], label: str, k: int = 10) -> DataFrame:

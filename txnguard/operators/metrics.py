@@ -300,9 +300,10 @@ def ablation(df: DataFrame, label: str, configs: dict[str, str]) -> DataFrame:
 
 
 def ranked_examples(df: DataFrame, label: str, pred: str, order: Sequence[str], k: int = 5) -> DataFrame:
-    """First k TP / FN / FP rows by ``order`` (k is the feature: a report)."""
+    """First k TP / FN / FP rows by ``order`` (column names, the first a row
+    key; k is the feature: a report)."""
     y, p = F.col(label) == 1, F.col(pred) == 1
     outcome = F.when(y & p, "TP").when(y & ~p, "FN").when(~y & p, "FP")
-    w = Window.partitionBy("outcome").orderBy(*order)
-    return (df.withColumn("outcome", outcome).where(F.col("outcome").isNotNull())
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    from txnguard.plans.scale import top_k_per_group
+    d = df.withColumn("outcome", outcome).where(F.col("outcome").isNotNull())
+    return top_k_per_group(d, ["outcome"], list(order), k, tie_col=order[0])

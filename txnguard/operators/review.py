@@ -11,7 +11,7 @@ batch cannot double-apply a change.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVENT_TYPES = ("opened", "assigned", "shap_attached", "rescored", "closed")
@@ -33,9 +33,10 @@ def fold_review_state(events: DataFrame) -> DataFrame:
     * shap_path: the last explanation attached (no status change).
     """
     e = events.withColumn("__ord", event_order())
-    first_close = F.min(F.when(F.col("event_type") == "closed", F.col("__ord"))).over(
-        Window.partitionBy("review_id"))
-    e = e.withColumn("__first_close", first_close)
+    # first close per review: a partial aggregate joined back (a hot review
+    # is split by AQE's skew join instead of landing in one window task)
+    fc = e.where(F.col("event_type") == "closed").groupBy("review_id").agg(F.min("__ord").alias("__first_close"))
+    e = e.join(fc, "review_id", "left")
     t = F.col("event_type")
 
     def last(col: str, cond: Column) -> Column:
@@ -66,8 +67,8 @@ def reject_unknown(events: DataFrame, event_type: str) -> tuple[DataFrame, DataF
 def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``existing``; inside the batch
     the first row per key (by ``order``) wins."""
-    w = Window.partitionBy(key).orderBy(*order)
-    first = batch.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    from txnguard.plans.scale import first_per_key
+    first = first_per_key(batch, [key], order)
     return first.join(existing.select(key).distinct(), key, "left_anti")
 
 
@@ -108,8 +109,9 @@ def backfill_latest_path(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """For closed labelled reviews with a blank feature path, take the path
     of the latest decision with the same payload hash; a blank latest path
     stays blank (no fallback to older decisions)."""
-    w = Window.partitionBy("payload_hash").orderBy(F.col("created").desc(), F.col("id").desc())
-    latest = (decisions.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
+    from txnguard.plans.scale import first_per_key
+    latest = (first_per_key(decisions.select("payload_hash", "created", "id", "feature_path"), ["payload_hash"],
+                            ["created", "id"], latest=True)
               .select("payload_hash", F.col("feature_path").alias("__latest_path")))
     blank = F.coalesce(F.trim(F.col("feature_path")), F.lit("")) == ""
     need = (F.col("status") == "closed") & F.col("analyst_decision").isNotNull() & blank

@@ -43,8 +43,8 @@ def common_features(baseline: DataFrame, current: DataFrame, allow: Sequence[str
 
 def dedupe_by_canonical_row(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row (by ``order``) of every distinct feature tuple."""
-    w = Window.partitionBy(*cols).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    from txnguard.plans.scale import first_per_key
+    return first_per_key(df, cols, order).select(*df.columns)
 
 
 def top_abs(arr: Column, k: int, names: Column | None = None) -> Column:

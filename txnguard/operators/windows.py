@@ -135,8 +135,9 @@ def time_split(df: DataFrame, order_cols: Sequence[str], fractions=(0.70, 0.85),
 
 
 def latest_per_key(df: DataFrame, key: str, order_desc: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_desc])
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """Latest row per key (largest ``order_desc`` tuple), skew-safe max_by."""
+    from txnguard.plans.scale import first_per_key
+    return first_per_key(df, [key], order_desc, latest=True)
 
 
 def new_device_flag(df: DataFrame, token: str, t: str, tie: str, out: str = "is_new_device") -> DataFrame:

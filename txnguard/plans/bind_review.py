@@ -36,9 +36,9 @@ def decisions(spark, sf_dir):
 
 
 def opened_reviews(dec):
-    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window
-                            .partitionBy("review_id").orderBy("created", "id"))
-    return dec.where(F.col("decision") == "REVIEW").withColumn("__rn", w).where("__rn = 1").drop("__rn")
+    """First REVIEW decision per review id (first wins; skew-safe min_by)."""
+    from txnguard.plans.scale import first_per_key
+    return first_per_key(dec.where(F.col("decision") == "REVIEW"), ["review_id"], ["created", "id"]).select(*dec.columns)
 
 
 def review_events(dec):

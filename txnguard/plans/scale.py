@@ -219,3 +219,31 @@ def percentile_rank(values: DataFrame, value_col: str, baseline: DataFrame, base
         F.col("__x"), F.when(F.col("__n") > 0, F.lit(100.0) * F.col("cum___b") / F.col("__n"))
         .alias(out))
     return values.join(ranks, values[value_col] == ranks["__x"], "left").drop("__x")
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], latest: bool = False) -> DataFrame:
+    """The first (or, with ``latest``, the last) row per key in the order of
+    ``order_cols`` (make it total with a unique key).
+
+    A ``min_by`` / ``max_by`` aggregate over the whole row: partial
+    aggregation keeps one row per key per task before the shuffle, so a key
+    holding a third of the table costs one row per task, not one task."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    order = F.struct(*[F.col(c) for c in order_cols])
+    pick = F.max_by(row, order) if latest else F.min_by(row, order)
+    return df.groupBy(*keys).agg(pick.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
+
+
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int,
+                    tie_col: str, buckets: int = 64, rank_col: str = "rank") -> DataFrame:
+    """Top k rows per group in two stages: first per (group, hash bucket of
+    ``tie_col``), then per group over at most ``buckets * k`` survivors, so a
+    hot group is ranked by many tasks instead of one."""
+    g = list(group_cols)
+    b = F.pmod(F.xxhash64(F.col(tie_col)), F.lit(buckets))
+    w1 = Window.partitionBy(*g, b).orderBy(*order_cols)
+    stage1 = df.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1")
+    w2 = Window.partitionBy(*g).orderBy(*order_cols)
+    return stage1.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
