@@ -59,7 +59,7 @@ def q_flagship(spark, sf_dir):
     """Enrich (velocity / rolling / z-score) + thresholds + API policy,
     summarised per decision."""
     s = scored_txn(spark, sf_dir)
-    s = s.select("*", *windows.velocity_inclusive_cols(), windows.zscore_device())
+    s = windows.zscore_device_agg(windows.velocity_chunked(s))
     agg = s.groupBy("decision").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("label").alias("n_fraud"),
@@ -71,7 +71,8 @@ def q_flagship(spark, sf_dir):
 # ---------------------------------------------------------------- windows
 @query("win_velocity_inclusive")
 def q_vel_incl(spark, sf_dir):
-    return txn(spark, sf_dir).select("txn_id", *windows.velocity_inclusive_cols())
+    v = windows.velocity_chunked(txn(spark, sf_dir))
+    return v.select("txn_id", *windows.VELOCITY_WINDOWS)
 
 
 @query("win_velocity_prior")
@@ -81,7 +82,7 @@ def q_vel_prior(spark, sf_dir):
 
 @query("win_rolling_mean_50")
 def q_roll50(spark, sf_dir):
-    return txn(spark, sf_dir).select("txn_id", windows.rolling_mean_rows())
+    return windows.rolling_mean_chunked(txn(spark, sf_dir)).select("txn_id", "avg_amount_50")
 
 
 @query("win_rolling_mean_7d")
@@ -91,7 +92,7 @@ def q_roll7d(spark, sf_dir):
 
 @query("win_zscore_device")
 def q_zdev(spark, sf_dir):
-    return txn(spark, sf_dir).select("txn_id", windows.zscore_device())
+    return windows.zscore_device_agg(txn(spark, sf_dir)).select("txn_id", "amount_zscore")
 
 
 @query("win_zscore_pit")

@@ -94,8 +94,8 @@ def zscore_pit(col: str = "amount", device: str = "device_id", t: str = "t", tie
 
 
 def enrich_velocity(df: DataFrame) -> DataFrame:
-    """Velocity, 50-row rolling mean and device z-score in one select."""
-    return df.select("*", *velocity_inclusive_cols(), rolling_mean_rows(), zscore_device())
+    """Velocity, 50-row rolling mean and device z-score (hot-device safe)."""
+    return zscore_device_agg(rolling_mean_chunked(velocity_chunked(df)))
 
 
 def time_order_violations(df: DataFrame, device: str, t: str, ingest: str) -> DataFrame:
@@ -107,7 +107,7 @@ def time_order_violations(df: DataFrame, device: str, t: str, ingest: str) -> Da
 
 def first_txn_flags(df: DataFrame, device: str = "device_id", t: str = "t", tie: str = "txn_id",
                     out: str = "is_first_txn") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(_w(device, t, tie)) == 1)
+    return new_device_flag(df, device, t, tie, out)
 
 
 def global_monotonic(df: DataFrame, t: str, ingest: str) -> DataFrame:
@@ -141,7 +141,11 @@ def latest_per_key(df: DataFrame, key: str, order_desc: Sequence[str]) -> DataFr
 
 
 def new_device_flag(df: DataFrame, token: str, t: str, tie: str, out: str = "is_new_device") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(_w(token, t, tie)) == 1)
+    """First sighting of a token: the (t, tie) minimum per token, found by a
+    partial aggregate and joined back (no per-token window task)."""
+    first = df.groupBy(token).agg(F.min(F.struct(F.col(t).alias("a"), F.col(tie).alias("b"))).alias("__first"))
+    j = df.join(first, token)
+    return j.withColumn(out, (F.col(t) == F.col("__first.a")) & (F.col(tie) == F.col("__first.b"))).drop("__first")
 
 
 def attempts_today(df: DataFrame, account: str, ts: str, tie: str, threshold: int = 3) -> DataFrame:
@@ -150,3 +154,67 @@ def attempts_today(df: DataFrame, account: str, ts: str, tie: str, threshold: in
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cnt = F.count(F.lit(1)).over(w)
     return df.withColumn("attempts_today", cnt).withColumn("rapid_retry", cnt > threshold)
+
+
+# ---------------------------------------------------------------- hot-device safe variants
+def _with_halo(df: DataFrame, chunk: Column, in_halo: Column) -> DataFrame:
+    """Rows with their chunk, plus copies of ``in_halo`` rows assigned to the
+    next chunk (flagged ``__halo``) so every chunk sees what its frames need."""
+    base = df.withColumn("__chunk", chunk).withColumn("__halo", F.lit(False))
+    halo = df.where(in_halo).withColumn("__chunk", chunk + 1).withColumn("__halo", F.lit(True))
+    return base.unionByName(halo)
+
+
+def velocity_chunked(df: DataFrame, device: str = "device_id", t: str = "t", tie: str = "txn_id",
+                     windows: dict | None = None, chunk_len: int | None = None) -> DataFrame:
+    """Inclusive trailing counts, exact, with each device's timeline cut into
+    chunks of ``chunk_len`` time units (>= longest window + 1).  A chunk also
+    receives the previous chunk's last ``s_max`` units as halo rows, so its
+    RANGE frames are complete; a device holding a third of all rows is
+    spread over as many tasks as it has chunks.
+
+    count = rows in [t - s, t] minus the later peers of the row at time t."""
+    windows = windows or VELOCITY_WINDOWS
+    smax = max(windows.values())
+    c_len = max(chunk_len or 4 * smax, smax + 1)
+    tc = F.col(t)
+    chunk = ((tc - F.pmod(tc, F.lit(c_len))) / c_len).cast("long")
+    in_halo = F.pmod(tc, F.lit(c_len)) >= c_len - smax
+    x = _with_halo(df, chunk, in_halo)
+    part = [device, "__chunk"]
+    peers = F.count(F.lit(1)).over(Window.partitionBy(*part).orderBy(tc).rangeBetween(0, 0))
+    pos_in_peers = (F.row_number().over(Window.partitionBy(*part).orderBy(tc, F.col(tie)))
+                    - F.rank().over(Window.partitionBy(*part).orderBy(tc)) + 1)
+    later_peers = peers - pos_in_peers
+    cols = [(F.count(F.lit(1)).over(Window.partitionBy(*part).orderBy(tc).rangeBetween(-s, 0)) - later_peers)
+            .cast("long").alias(name) for name, s in windows.items()]
+    return x.select("*", *cols).where(~F.col("__halo")).drop("__chunk", "__halo")
+
+
+def rolling_mean_chunked(df: DataFrame, col: str = "amount", n: int = 50, device: str = "device_id",
+                         t: str = "t", tie: str = "txn_id", out: str = "avg_amount_50",
+                         chunk_rows: int = 100_000) -> DataFrame:
+    """Mean of the last ``n`` rows per device (exact cents, half-even) with
+    each device cut into chunks of ``chunk_rows`` positions; a chunk also
+    gets the previous chunk's last n - 1 rows as halo.  Positions come from
+    the distributed running count, so a hot device never sorts in one task."""
+    from txnguard.plans.scale import global_cumsum
+    c_rows = max(chunk_rows, n)
+    one = df.withColumn("__one", F.lit(1).cast("long"))
+    pos = global_cumsum(one, [device, t, tie], ["__one"], group_col=device).withColumnRenamed("cum___one", "__pos")
+    p0 = F.col("__pos") - 1
+    chunk = ((p0 - F.pmod(p0, F.lit(c_rows))) / c_rows).cast("long")
+    in_halo = F.pmod(p0, F.lit(c_rows)) >= c_rows - (n - 1)
+    x = _with_halo(pos.drop("__one"), chunk, in_halo)
+    w = Window.partitionBy(device, "__chunk").orderBy("__pos").rowsBetween(-(n - 1), Window.currentRow)
+    m = (half_even_ratio(F.sum(cents(col)).over(w), F.count(col).over(w)) / 100.0).alias(out)
+    return x.select("*", m).where(~F.col("__halo")).drop("__chunk", "__halo", "__pos")
+
+
+def zscore_device_agg(df: DataFrame, col: str = "amount", device: str = "device_id",
+                      out: str = "amount_zscore") -> DataFrame:
+    """Whole-history device z-score from a partial aggregate joined back (a
+    hot device is one aggregate row per task; AQE splits the skewed join)."""
+    stats = df.groupBy(device).agg(F.avg(col).alias("__mu"), F.stddev_pop(col).alias("__sd"))
+    z = (F.col(col) - F.col("__mu")) / (F.col("__sd") + F.lit(1e-9))
+    return df.join(stats, device).withColumn(out, F.bround(z, 3) + F.lit(0.0)).drop("__mu", "__sd")

@@ -33,19 +33,17 @@ def features_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
           .withColumn("shipping_key", F.pmod(F.col("k"), F.lit(25)))
           .join(F.broadcast(b), "billing_key", "left")
           .join(F.broadcast(s), "shipping_key", "left"))
-    rn = F.row_number().over(windows._w("device_id", "t", "txn_id"))
-    return df.select(
+    df = windows.new_device_flag(df, "device_id", "t", "txn_id")
+    df = df.select(
         "*",
         scalar.haversine_km("lat_b", "lon_b", "lat_s", "lon_s").alias("geo_distance_km"),
         scalar.country_mismatch("billing_country", "shipping_country").alias("country_mismatch"),
         scalar.night_flag("ts").alias("night_txn"),
         scalar.weekend_flag("ts").alias("weekend_txn"),
-        (rn == 1).alias("is_new_device"),
         (F.col("k") >= PROXY_K).alias("is_proxy_vpn"),
-        *windows.velocity_inclusive_cols(),
-        windows.rolling_mean_rows(),
-        windows.zscore_device(),
     )
+    # per-device windows in their hot-device safe form (chunked / aggregate)
+    return windows.enrich_velocity(df)
 
 
 FEAT_SQL = """cust AS (SELECT c_custkey AS device_id, c_nationkey AS billing_key FROM customer),
