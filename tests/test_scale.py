@@ -73,3 +73,43 @@ def test_percentile_rank_empty_baseline_is_null(spark):
     base = spark.createDataFrame([], "e double")
     vals = spark.createDataFrame([(1, 0.2)], "id int, v double")
     assert percentile_rank(vals, "v", base, "e", "pct").collect()[0]["pct"] is None
+
+
+@pytest.mark.parametrize("force_distributed", [False, True])
+def test_chunked_windows_equal_plain_windows(spark, force_distributed):
+    """Chunked (hot-device safe) windows equal the per-device windows, also
+    with tiny chunks and one device holding about a third of the rows."""
+    from txnguard.operators import windows as W
+    from txnguard.plans.scale import SINGLE_TASK_ROWS_CONF
+    if force_distributed:
+        spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
+    try:
+        t = txn(spark, SF001).select("txn_id", "device_id", "t", "amount")
+        # make device 0 hot: every third row moves onto it
+        t = t.withColumn("device_id", F.when(F.pmod("txn_id", F.lit(3)) == 0, F.lit(0)).otherwise(F.col("device_id")))
+        ref = t.select("txn_id", *W.velocity_inclusive_cols(), W.rolling_mean_rows(), W.zscore_device()).toPandas()
+        ref = ref.set_index("txn_id").sort_index()
+        v = W.velocity_chunked(t, chunk_len=3601).toPandas().set_index("txn_id").sort_index()
+        r = W.rolling_mean_chunked(t, chunk_rows=60).toPandas().set_index("txn_id").sort_index()
+        z = W.zscore_device_agg(t).toPandas().set_index("txn_id").sort_index()
+        for c in ("txn_count_5m", "txn_count_30m", "txn_count_60m"):
+            assert (v[c] == ref[c]).all()
+        assert (r["avg_amount_50"] == ref["avg_amount_50"]).all()
+        assert (z["amount_zscore"] == ref["amount_zscore"]).all()
+    finally:
+        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+
+
+def test_first_per_key_and_top_k(spark):
+    from txnguard.plans.scale import first_per_key, top_k_per_group
+    t = txn(spark, SF001).select("txn_id", "device_id", "t", "event_type")
+    got = {r["device_id"]: r["txn_id"] for r in first_per_key(t, ["device_id"], ["t", "txn_id"]).collect()}
+    pdf = t.toPandas().sort_values(["device_id", "t", "txn_id"])
+    exp = pdf.groupby("device_id")["txn_id"].first().to_dict()
+    assert got == exp
+    top = top_k_per_group(t, ["event_type"], [F.col("t").desc(), F.col("txn_id")], 3, tie_col="txn_id", buckets=4)
+    got = sorted((r["event_type"], r["rank"], r["txn_id"]) for r in top.collect())
+    exp = []
+    for et, g in pdf.sort_values(["t", "txn_id"], ascending=[False, True]).groupby("event_type", sort=True):
+        exp += [(et, i + 1, int(x)) for i, x in enumerate(g["txn_id"].head(3))]
+    assert got == sorted(exp)
