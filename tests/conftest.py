@@ -14,7 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from txnguard.session import build_session
-    s = build_session("local[4]", shuffle_partitions=4)
+    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "6g"})
     yield s
     s.stop()
 

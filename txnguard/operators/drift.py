@@ -64,7 +64,7 @@ def psi_numeric(long: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     """PSI per numeric feature; null ("unknown") with < 50 values a side,
     0 when fewer than 3 distinct edges remain."""
     # read by the counts, both quantile passes and the binning: keep it
-    num = long.where(F.col("x").isNotNull()).select("feature", "side", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    num = long.where(F.col("x").isNotNull()).select("feature", "side", "x").persist(StorageLevel.DISK_ONLY)
     counts = num.groupBy("feature").agg(F.count_if(F.col("side") == "baseline").alias("n_e"),
                                         F.count_if(F.col("side") == "current").alias("n_a"))
     ok = counts.where((F.col("n_e") >= MIN_ROWS) & (F.col("n_a") >= MIN_ROWS)).select("feature")

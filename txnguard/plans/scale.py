@@ -136,9 +136,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     grp = g[0] if len(g) == 1 else "__gk"
     if len(g) > 1:
         base = base.withColumn("__gk", F.to_json(F.struct(*g)))
-    # one row per distinct (group, value); kept (memory, spilling to disk)
+    # one row per distinct (group, value); kept on disk (no executor heap)
     # because both the size probe and the running sums read it
-    vals = base.groupBy(grp, value_col).agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.MEMORY_AND_DISK)
+    vals = base.groupBy(grp, value_col).agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.DISK_ONLY)
     cum = global_cumsum(vals, [grp, value_col], ["__c"], group_col=grp)
     n = vals.groupBy(grp).agg(F.sum("__c").alias("__n"))
     p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("p")
