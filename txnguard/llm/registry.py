@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txnguard.llm import ngram_join
+from txnguard.llm import ngram_join, packing, secrets, substring_dedup
 from txnguard.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,37 @@ SELECT s.doc_id, coalesce(k.class_id, s.doc_id) AS class_id, coalesce(c.copy_of,
        CAST(coalesce(c.copies - 1, 0) + coalesce(l.near, 0) AS BIGINT) AS n_links
 FROM s LEFT JOIN c ON c.ws = s.ws LEFT JOIN k ON k.a = c.copy_of LEFT JOIN l ON l.a = c.copy_of
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes 50-word passages that stand in an earlier document."""
+    out = substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op6_substring_dedup"] = """
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+x AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) AS g FROM x),
+m AS (SELECT g, min(doc_id) AS d FROM h GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM h JOIN m USING (g) WHERE d < doc_id),
+g AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string([ws[k] FOR k IN range(1, len(ws) + 1) IF ps IS NULL OR NOT list_contains(ps, k)], ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: fixed patterns and random-looking tokens."""
+    out = secrets.secret_scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *secrets.digest())
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 4096 tokens."""
+    import public_tokenizers
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
