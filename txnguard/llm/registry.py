@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnguard.llm import chat, fingerprint, langid, ngram_join, packing, secrets, substring_dedup
-from txnguard.llm.common import read_table
+from txnguard.llm import ann, chat, fingerprint, langid, mixing, ngram_join, packing, secrets, substring_dedup, toxicity
+from txnguard.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def fold(key: str, parts: int) -> Column:
-    """crc32 of the key as text, modulo ``parts``."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % parts
-
-
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -117,3 +112,27 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiset fingerprints of all documents and of edited copies."""
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth embedding."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; fold 1 of 3 is held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeps documents so that token shares meet flattened marginals."""
+    out = mixing.probabilities(read_table(spark, sf_dir, "documents"), mixing.by_source_language_topic())
+    return out.select("doc_id", "mix_cell.source", "mix_cell.lang", "mix_cell.topic", F.col("mix_factor").alias("factor"),
+                      F.col("mix_p").alias("probability"), F.col("mix_kept").alias("kept"))
