@@ -18,7 +18,7 @@ documents are linked when the Jaccard similarity of their sets is >= 0.8.
    verified links.
 
 Defined cases: null, empty and blank texts have no shingles and no link (class
-= own id); repeated doc_ids are taken once (smallest text); an empty table
+= own id); of rows that repeat a doc_id one text is taken (smallest hash); an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -55,7 +55,7 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _content_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("ck", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64())])
     for b, data, offsets in text_blocks(batches):
         _, _, h, first = words_of(data, offsets)
         k = np.zeros((2, b.num_rows), U64)
@@ -63,14 +63,14 @@ def _content_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if first[i + 1] > first[i]:
                 w = h[first[i]: first[i + 1]]
                 k[0, i], k[1, i] = rolling(w, len(w))[0], rolling(w, len(w), 1)[0]
-        yield batch(out, [b["doc_id"], k[0].view(np.int64), k[1].view(np.int64), np.diff(first)])
+        yield batch(out, [b["doc_id"], b["ck"], k[0].view(np.int64), k[1].view(np.int64), np.diff(first)])
 
 
 def _minhash(n: int, bands: int, rows: int, seed: int):
     mult = mix(np.arange(1, bands * rows + 1, dtype=U64) + U64(seed << 20)) | U64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+        out = pa.schema([("doc_id", pa.int64()), ("ck", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
         for b, data, offsets in text_blocks(batches, most=1 << 20):
             _, _, h, first = words_of(data, offsets)
             sets = [shingles(h[first[i]: first[i + 1]], n) for i in range(b.num_rows)]
@@ -91,8 +91,8 @@ def _minhash(n: int, bands: int, rows: int, seed: int):
                     k = mix(k * U64(31) + sig[:, j].astype(U64))
                 keys[:, band] = k
             short = (sig & 0xFFFF).astype(np.uint16)
-            ids = b["doc_id"].to_numpy(zero_copy_only=False)[full]
-            yield batch(out, [ids, [r.tobytes() for r in short], pa.ListArray.from_arrays(
+            ids, ck = (b[c].to_numpy(zero_copy_only=False)[full] for c in ("doc_id", "ck"))
+            yield batch(out, [ids, ck, [r.tobytes() for r in short], pa.ListArray.from_arrays(
                 pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))])
     return run
 
@@ -181,7 +181,6 @@ def _verify(n: int, threshold: float, tile: int = 512):
                 links[ii] += hit @ copies[jj]
                 if not (x == y and i == j):
                     links[jj] += hit.T @ copies[ii]
-                # a forest of the tile: the first partner of each row and of each column will not do, walk it
                 r, c = _tile_forest(hit, ii, jj)
                 rows += r
                 cols += c
@@ -228,18 +227,22 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     number of documents it is linked to (equal texts included)."""
     bands, rows = shape(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    keys = stash(map_arrow(docs, _content_keys, "doc_id long, k1 long, k2 long, n_words long")
-                 .groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_words")).alias("k")).select("doc_id", "k.*"), "op2-keys")
+    docs = docs.withColumn("ck", F.xxhash64("text"))
+    keys = stash(map_arrow(docs, _content_keys, "doc_id long, ck long, k1 long, k2 long, n_words long")
+                 .groupBy("doc_id").agg(F.min(F.struct("ck", "k1", "k2", "n_words")).alias("k")).select("doc_id", "k.*"), "op2-keys")
     classes = (keys.filter("n_words > 0").groupBy("k1", "k2")
                .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")))
     classes = stash(classes, "op2-classes")
 
     # MinHash of every text (copies give equal rows, dropped by the semi join on ids)
-    sigs = map_arrow(docs, _minhash(n, bands, rows, seed), "doc_id long, sig binary, keys array<long>")
-    reps = classes.select(F.col("copy_of").alias("doc_id"), "copies")
-    sigs = stash(sigs.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi"), "op2-sigs")
+    sigs = map_arrow(docs, _minhash(n, bands, rows, seed), "doc_id long, ck long, sig binary, keys array<long>")
+    reps = classes.select(F.col("copy_of").alias("doc_id"), "copies").join(keys.select("doc_id", "ck", "n_words"), "doc_id")
+    sigs = stash(sigs.join(reps, ["doc_id", "ck"], "left_semi").dropDuplicates(["doc_id"]), "op2-sigs")
     flat = sigs.select("doc_id", F.explode("keys").alias("key"))
-    shared = flat.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    # buckets with the same members give the same forest: one of them goes on
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2)]
+    shared = flat.groupBy("key").agg(F.count("*").alias("m"), *members).filter("m > 1")
+    shared = shared.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m")
     near = stash(flat.join(shared, "key"), "op2-near")
     hit = near.select("doc_id").distinct()
     rows_ = near.join(sigs.select("doc_id", "sig").join(hit, "doc_id", "left_semi"), "doc_id")
@@ -248,12 +251,9 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     clusters = components(forest.distinct())
 
     # verify every pair of a cluster on full shingle sets
-    sized = (clusters.join(reps, clusters.node == reps.doc_id).select("doc_id", "root", "copies")
-             .join(keys.select("doc_id", "n_words"), "doc_id"))
+    sized = clusters.join(reps, clusters.node == reps.doc_id).select("doc_id", "ck", "root", "copies", "n_words")
     total = sized.groupBy("root").agg(F.sum("n_words").alias("m"))
-    sized = sized.join(total, "root").drop("n_words")
-    text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if docs.isStreaming else docs
-    sized = sized.join(text, "doc_id").dropDuplicates(["doc_id"])
+    sized = sized.join(total, "root").drop("n_words").join(docs, ["doc_id", "ck"]).dropDuplicates(["doc_id"])
     sized = _block_pairs(sized, "m", VERIFY, "root")
     found = stash(sized.select("root", "x", "y", "side", "doc_id", "copies", "text")
                   .groupBy("root", "x", "y").applyInPandas(_verify(n, threshold), "kind string, a long, b long"), "op2-links")
