@@ -42,42 +42,93 @@ class WordIds:
     """Token ids of whole texts from a cache of blank-separated words.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in order.  The cache keeps ``most`` words."""
+    are its words' ids in order.  The cache holds two generations of at most
+    ``most`` words; words in use move on to the younger."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
-        self.tok, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.tok, self.most, self.young, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a word
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def words(text: str) -> list[str]:
-        low = text.lower()
-        if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
-            text = low  # as the tokenizer would; fewer distinct words
-        return [w for w in _BLANK.split(text) if w]
+        if "Σ" not in text and unicodedata.is_normalized("NFC", text):
+            low = text.lower()
+            if unicodedata.is_normalized("NFC", low):
+                text = low  # as the tokenizer would; fewer distinct words
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
+            return [w for w in _BLANK.split(text) if w]
+        return text.split()
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of new words into the cache."""
+        young, old = self.young, self.old
+        if "." not in young:
+            for c, e in zip(".,", self.tok.encode_batch([".", ","], add_special_tokens=False), strict=True):
+                young[c] = np.array(e.ids, "<u4").tobytes()
+        plain, rest, tailed = set(), [], []
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+            elif w.isalpha():
+                plain.add(w)
+            elif w[-1] in ".," and (s := w[:-1]).isalpha():
+                # the stop or comma behind a word is a token of its own
+                ids = young.get(s) or old.get(s)
+                if ids is None:
+                    plain.add(s)
+                    tailed.append(w)
+                else:
+                    young[w] = ids + young[w[-1]]
+            else:
+                rest.append(w)
+        todo = list(plain)
+        for i in range(0, len(todo), 512):  # letters only: one run of tokens up to an end of word each
+            some = todo[i: i + 512]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some):
+                raw, at = ids.tobytes(), 0
+                for s, e in zip(some, (4 * cut).tolist(), strict=True):
+                    young[s] = raw[at:e]
+                    at = e
+            else:
+                rest += some
+        for s, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            young[s] = np.array(e.ids, "<u4").tobytes()
+        for w in tailed:
+            young[w] = young[w[:-1]] + young[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
         split = [self.words(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {}
-        cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
+        found = [list(map(self.young.get, ws)) for ws in split]
+        new = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, i in zip(ws, ids, strict=True) if i is None}
         if new:
-            # a word and the stop or comma behind it are separate for the tokenizer
-            stems = [w[:-1] if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() else w for w in new]
-            need = list({s for s in [*stems, ".", ","] if s not in cache})
-            for w, e in zip(need, self.tok.encode_batch(need, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            for w, s in zip(new, stems, strict=True):
-                if w is not s and w not in cache:
-                    cache[w] = cache[s] + cache[w[-1]]
-        return [b"".join([cache[w] for w in ws]) for ws in split]
+            self.learn(new)
+            get = self.young.__getitem__
+            found = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) for ids in found]
+
+
+_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's cache for a tokenizer; later tasks go on with it."""
+    if path not in _IDS:
+        _IDS[path] = WordIds(path)
+    return _IDS[path]
 
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        ids, step, stop = WordIds(path), 4 * capacity, np.array([end], "<u4").tobytes()
+        ids, step, stop = word_ids(path), 4 * capacity, np.array([end], "<u4").tobytes()
         for b in batches:
             rows = []
             for doc, raw in zip(b["doc_id"].to_pylist(), ids.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
