@@ -21,11 +21,12 @@ text is ``und``; repeated rows are each predicted; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnguard.llm.common import batch, map_arrow, text_blocks
@@ -191,15 +192,20 @@ def train(labelled: DataFrame, per_lang: int = 300, max_langs: int = 32) -> tupl
     """Fits on ``labelled (doc_id, text, lang)``; at most ``per_lang`` rows of
     each language come to the driver, an excerpt of each."""
     rows = labelled.filter("text is not null and lang is not null and length(text) > 0")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not langs:
         return None, []
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the ids first (the row-number filter is limited in each task before the shuffle), then their excerpts
-    ids = (rows.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("r", F.row_number().over(order))
-           .filter(F.col("r") <= per_lang).select("doc_id").distinct())
+    # by a hash of the id: about 1.5 * per_lang rows of each language, of which the smallest hashes stay
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    below = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(min(1.0, 1.5 * per_lang / n) * (1 << 40)))) for k, n in langs.items()), F.lit(0))
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - EXCERPT)).cast("int") + 1
-    sample = rows.join(ids, "doc_id").select("lang", F.substring("text", at, F.lit(EXCERPT)).alias("text")).orderBy("lang", "text").collect()
+    found = (rows.filter(u < below).select("lang", u.alias("u"), F.substring("text", at, F.lit(EXCERPT)).alias("text"))
+             .orderBy("lang", "u", "text").collect())
+    sample, langs, have = [], list(langs), Counter()
+    for r in found:
+        have[r["lang"]] += 1
+        if have[r["lang"]] <= per_lang:
+            sample.append(r)
     raw = [r["text"].encode() for r in sample]
     x, lens, doc = columns(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     y = np.array([langs.index(r["lang"]) for r in sample])[doc]
