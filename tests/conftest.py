@@ -17,13 +17,3 @@ def spark():
     s = build_session("local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "6g"})
     yield s
     s.stop()
-
-
-@pytest.fixture
-def distributed(spark):
-    """Force the distributed (range partition + checkpoint) path of the
-    order-dependent helpers for the duration of a test."""
-    from txnguard.plans.scale import SINGLE_TASK_ROWS_CONF
-    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
-    yield spark
-    spark.conf.unset(SINGLE_TASK_ROWS_CONF)

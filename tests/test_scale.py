@@ -14,8 +14,7 @@ from txnguard.sources.tables import read_table, txn
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])
-def test_global_row_number_matches_sort(distributed, parts):
-    spark = distributed
+def test_global_row_number_matches_sort(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     o = read_table(spark, SF01, "orders").select("o_orderkey", "o_orderdate")
     got = global_row_number(o, ["o_orderdate", "o_orderkey"], "rn").toPandas().sort_values("rn")
@@ -25,8 +24,7 @@ def test_global_row_number_matches_sort(distributed, parts):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_global_cumsum_grouped(distributed):
-    spark = distributed
+def test_global_cumsum_grouped(spark):
     t = txn(spark, SF001).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("c"))
     got = global_cumsum(t, ["event_type", "k"], ["c"], group_col="event_type").toPandas()
     pdf = t.toPandas().sort_values(["event_type", "k"])
@@ -35,22 +33,15 @@ def test_global_cumsum_grouped(distributed):
     assert (m["cum_c"] == m["exp"]).all()
 
 
-@pytest.mark.parametrize("force_distributed", [False, True])
-def test_exact_quantiles_linear_matches_numpy(spark, force_distributed):
-    from txnguard.plans.scale import SINGLE_TASK_ROWS_CONF
-    if force_distributed:
-        spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
-    try:
-        t = txn(spark, SF001)
-        probs = [0.0, 0.001, 0.25, 0.5, 0.95, 0.995, 1.0]
-        got = exact_quantiles(t, "amount", probs, ["label"]).toPandas()
-        pdf = t.select("amount", "label").toPandas()
-        for lab, g in pdf.groupby("label"):
-            for p in probs:
-                q = got[(got["label"] == lab) & (np.isclose(got["p"], p))]["q"].iloc[0]
-                assert q == pytest.approx(np.quantile(g["amount"].to_numpy(), p), rel=1e-12, abs=1e-12)
-    finally:
-        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+def test_exact_quantiles_linear_matches_numpy(spark):
+    t = txn(spark, SF001)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.95, 0.995, 1.0]
+    got = exact_quantiles(t, "amount", probs, ["label"]).toPandas()
+    pdf = t.select("amount", "label").toPandas()
+    for lab, g in pdf.groupby("label"):
+        for p in probs:
+            q = got[(got["label"] == lab) & (np.isclose(got["p"], p))]["q"].iloc[0]
+            assert q == pytest.approx(np.quantile(g["amount"].to_numpy(), p), rel=1e-12, abs=1e-12)
 
 
 def test_exact_quantiles_exclusive_matches_statistics(spark):
@@ -75,29 +66,22 @@ def test_percentile_rank_empty_baseline_is_null(spark):
     assert percentile_rank(vals, "v", base, "e", "pct").collect()[0]["pct"] is None
 
 
-@pytest.mark.parametrize("force_distributed", [False, True])
-def test_chunked_windows_equal_plain_windows(spark, force_distributed):
+def test_chunked_windows_equal_plain_windows(spark):
     """Chunked (hot-device safe) windows equal the per-device windows, also
     with tiny chunks and one device holding about a third of the rows."""
     from txnguard.operators import windows as W
-    from txnguard.plans.scale import SINGLE_TASK_ROWS_CONF
-    if force_distributed:
-        spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
-    try:
-        t = txn(spark, SF001).select("txn_id", "device_id", "t", "amount")
-        # make device 0 hot: every third row moves onto it
-        t = t.withColumn("device_id", F.when(F.pmod("txn_id", F.lit(3)) == 0, F.lit(0)).otherwise(F.col("device_id")))
-        ref = t.select("txn_id", *W.velocity_inclusive_cols(), W.rolling_mean_rows(), W.zscore_device()).toPandas()
-        ref = ref.set_index("txn_id").sort_index()
-        v = W.velocity_chunked(t, chunk_len=3601).toPandas().set_index("txn_id").sort_index()
-        r = W.rolling_mean_chunked(t, chunk_rows=60).toPandas().set_index("txn_id").sort_index()
-        z = W.zscore_device_agg(t).toPandas().set_index("txn_id").sort_index()
-        for c in ("txn_count_5m", "txn_count_30m", "txn_count_60m"):
-            assert (v[c] == ref[c]).all()
-        assert (r["avg_amount_50"] == ref["avg_amount_50"]).all()
-        assert (z["amount_zscore"] == ref["amount_zscore"]).all()
-    finally:
-        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+    t = txn(spark, SF001).select("txn_id", "device_id", "t", "amount")
+    # make device 0 hot: every third row moves onto it
+    t = t.withColumn("device_id", F.when(F.pmod("txn_id", F.lit(3)) == 0, F.lit(0)).otherwise(F.col("device_id")))
+    ref = t.select("txn_id", *W.velocity_inclusive_cols(), W.rolling_mean_rows(), W.zscore_device()).toPandas()
+    ref = ref.set_index("txn_id").sort_index()
+    v = W.velocity_chunked(t, chunk_len=3601).toPandas().set_index("txn_id").sort_index()
+    r = W.rolling_mean_chunked(t, chunk_rows=60).toPandas().set_index("txn_id").sort_index()
+    z = W.zscore_device_agg(t).toPandas().set_index("txn_id").sort_index()
+    for c in ("txn_count_5m", "txn_count_30m", "txn_count_60m"):
+        assert (v[c] == ref[c]).all()
+    assert (r["avg_amount_50"] == ref["avg_amount_50"]).all()
+    assert (z["amount_zscore"] == ref["amount_zscore"]).all()
 
 
 def test_first_per_key_and_top_k(spark):

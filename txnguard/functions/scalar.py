@@ -25,6 +25,11 @@ VERSION_UNSAFE_PATTERN = r"[^a-zA-Z0-9._\-]+"
 # ---------------------------------------------------------------------------
 
 
+def strip_space(c: Column | str) -> Column:
+    """``c`` without white space (of any kind) at its ends."""
+    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -157,7 +162,7 @@ def review_id(h) -> Column:
 
 
 def normalize_model_version(v) -> Column:
-    s = F.trim(F.coalesce(_c(v).cast("string"), F.lit("")))
+    s = strip_space(F.coalesce(_c(v).cast("string"), F.lit("")))
     cleaned = F.regexp_replace(F.regexp_replace(s, VERSION_UNSAFE_PATTERN, "-"), r"^-+|-+$", "")
     return (F.when(s == "", F.lit("v1"))
             .when(F.lower(s).isin(VERSION_UNKNOWN_WORDS), F.lit("v1"))
@@ -187,7 +192,7 @@ def canonical_decision(category) -> Column:
 
 
 def outcome_label(x) -> Column:
-    u = F.upper(F.trim(_c(x)))
+    u = F.upper(strip_space(_c(x)))
     return F.when(u == "BLOCK", 1).when(u == "APPROVE", 0)
 
 
@@ -236,7 +241,7 @@ def numeric_coerce(x, default: float | None = 0.0) -> Column:
 
 def coalesce_truthy(*cols) -> Column:
     """First non-blank of several text aliases (python ``a or b or c``)."""
-    return F.coalesce(*[F.nullif(F.trim(_c(c).cast("string")), F.lit("")) for c in cols])
+    return F.coalesce(*[F.nullif(strip_space(_c(c).cast("string")), F.lit("")) for c in cols])
 
 
 # Display names of model features and label prefixes.

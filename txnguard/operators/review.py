@@ -14,20 +14,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnguard.functions.scalar import strip_space
+
 EVENT_TYPES = ("opened", "assigned", "shap_attached", "rescored", "closed")
 SCORE_FIELDS = ("score_xgb", "ae_error", "ae_bucket")
 
 
 def event_order(ts_epoch: str = "ts", seq: str = "event_seq") -> Column:
     """Total order of events of one review: time, then sequence number."""
-    return F.col(ts_epoch).cast("long") * 100 + F.col(seq)
+    return F.struct(F.col(ts_epoch).cast("long").alias("ts"), F.col(seq).cast("long").alias("seq"))
 
 
 def fold_review_state(events: DataFrame) -> DataFrame:
     """Current state of every opened review.
 
     * status: ``closed`` once any close exists (a close from any status);
-    * analyst: the last assignment made while the review was still open;
+    * analyst: who closed it, if the close names one, else the last assignment
+      made while the review was still open;
     * analyst decision / notes: the last close;
     * scores: the last of opened / rescored;
     * shap_path: the last explanation attached (no status change).
@@ -46,7 +49,7 @@ def fold_review_state(events: DataFrame) -> DataFrame:
     st = e.groupBy("review_id").agg(
         F.count_if(t == "opened").alias("__opened"),
         F.when(F.count_if(t == "closed") > 0, "closed").otherwise("open").alias("status"),
-        last("analyst", open_assign).alias("analyst"),
+        last("analyst", open_assign | ((t == "closed") & F.col("analyst").isNotNull())).alias("analyst"),
         last("decision", t == "closed").alias("analyst_decision"),
         last("notes", t == "closed").alias("notes"),
         *[last(c, scored).alias(c) for c in SCORE_FIELDS],
@@ -77,9 +80,9 @@ def feedback_rows(events: DataFrame) -> DataFrame:
     The id includes review and sequence, so two closes in one second never
     collide."""
     closes, _ = reject_unknown(events, "closed")
-    return closes.where(F.upper(F.trim("decision")).isin("APPROVE", "BLOCK")).select(
+    return closes.where(F.upper(strip_space("decision")).isin("APPROVE", "BLOCK")).select(
         F.concat_ws("-", F.lit("fb"), F.col("review_id"), F.col("event_seq").cast("string")).alias("id"),
-        F.col("ts").alias("created"), "review_id", F.upper(F.trim("decision")).alias("outcome"), "notes")
+        F.col("ts").alias("created"), "review_id", F.upper(strip_space("decision")).alias("outcome"), "notes")
 
 
 def feedback_summary(feedback: DataFrame, state: DataFrame) -> DataFrame:
@@ -113,22 +116,22 @@ def backfill_latest_path(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     latest = (first_per_key(decisions.select("payload_hash", "created", "id", "feature_path"), ["payload_hash"],
                             ["created", "id"], latest=True)
               .select("payload_hash", F.col("feature_path").alias("__latest_path")))
-    blank = F.coalesce(F.trim(F.col("feature_path")), F.lit("")) == ""
+    blank = F.coalesce(strip_space(F.col("feature_path")), F.lit("")) == ""
     need = (F.col("status") == "closed") & F.col("analyst_decision").isNotNull() & blank
     j = reviews.join(latest, "payload_hash", "left")
-    return j.withColumn("feature_path", F.when(need & (F.coalesce(F.trim("__latest_path"), F.lit("")) != ""),
+    return j.withColumn("feature_path", F.when(need & (F.coalesce(strip_space("__latest_path"), F.lit("")) != ""),
                                                F.col("__latest_path")).otherwise(F.col("feature_path"))
                         ).drop("__latest_path")
 
 
 def suspect_scores(state: DataFrame) -> DataFrame:
-    b = F.trim(F.coalesce(F.col("ae_bucket"), F.lit("")))
+    b = strip_space(F.coalesce(F.col("ae_bucket"), F.lit("")))
     return state.where(F.col("score_xgb").isNull() | (F.col("score_xgb") == 0.5) | (b == "") | (F.lower(b) == "unknown"))
 
 
 def fix_version(v: Column) -> Column:
     """Null/blank or timestamp-like version -> ``xgb-v1``."""
-    s = F.trim(F.coalesce(v, F.lit("")))
+    s = strip_space(F.coalesce(v, F.lit("")))
     ts_like = s.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?")
     return F.when((s == "") | ts_like, F.lit("xgb-v1")).otherwise(s)
 

@@ -28,24 +28,6 @@ from txnguard.session import ensure_checkpoint_dir
 
 _PID = "__pid"
 
-# Above this many rows the order-dependent helpers use the distributed
-# range-partition + checkpoint path; at or below it one task sorts the
-# (already collapsed) rows, which is cheaper than the extra jobs.  The row
-# count is measured first, so the single-task path only ever sees a
-# bounded input.
-SINGLE_TASK_ROWS_CONF = "txnguard.singleTaskRowLimit"
-SINGLE_TASK_ROWS_DEFAULT = 1_000_000
-
-
-def _single_task_ok(df: DataFrame) -> bool:
-    spark = df.sparkSession
-    limit = int(spark.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
-    if limit <= 0:
-        return False
-    # bounded probe: stops counting once the limit is exceeded
-    return df.limit(limit + 1).count() <= limit
-
-
 def _n_parts(df: DataFrame) -> int:
     spark = df.sparkSession
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -64,8 +46,6 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str | Column],
     The order must be total (end it with a unique key); ties are otherwise
     broken arbitrarily, as in any sort.
     """
-    if _single_task_ok(df):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
     ck = _sorted_checkpoint(df, order_cols)
     mid = F.monotonically_increasing_id()
     local = ck.withColumn("__local", mid - F.shiftleft(F.col(_PID).cast("long"), 33))
@@ -84,15 +64,10 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[s
     """Running sums of ``sum_cols`` in the total order ``order_cols``.
 
     With ``group_col`` (which must be ``order_cols[0]``) the running sums
-    restart for every group.  The number of groups must be schema-bounded
-    (classes, feature names, splits): their totals are broadcast.
+    restart for every group.
     """
     if group_col is not None and order_cols[0] != group_col:
         raise ValueError("group_col must lead order_cols")
-    if _single_task_ok(df):
-        part = [group_col] if group_col is not None else []
-        w = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     ck = _sorted_checkpoint(df, order_cols)
     part = ck.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in sum_cols])
     w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,12 +79,11 @@ def global_cumsum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[s
     res = res.select("*", *[(F.col(f"__off_{c}") + F.sum(c).over(w_loc)).alias(f"{prefix}{c}")
                             for c in sum_cols])
     if group_col is not None:
-        totals = df.groupBy(group_col).agg(*[F.sum(c).alias(c) for c in sum_cols])
-        w_g = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)
-        starts = totals.select(group_col, *[F.coalesce(F.sum(c).over(w_g), F.lit(0)).alias(f"__gs_{c}")
-                                            for c in sum_cols])
-        # one row per group: Spark broadcasts it only when its measured
-        # size is under the auto-broadcast threshold.
+        # what ran before a group's first row; one row per group and task is
+        # shuffled, no group total passes through a single task
+        first = F.struct(*order_cols)
+        starts = res.groupBy(group_col).agg(*[F.min_by(F.col(f"{prefix}{c}") - F.col(c), first).alias(f"__gs_{c}")
+                                              for c in sum_cols])
         res = res.join(starts, group_col)
         for c in sum_cols:
             res = res.withColumn(f"{prefix}{c}", F.col(f"{prefix}{c}") - F.col(f"__gs_{c}"))
@@ -137,7 +111,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     if len(g) > 1:
         base = base.withColumn("__gk", F.to_json(F.struct(*g)))
     # one row per distinct (group, value); kept on disk (no executor heap)
-    # because both the size probe and the running sums read it
+    # because the running sums and the totals read it
     vals = base.groupBy(grp, value_col).agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.DISK_ONLY)
     cum = global_cumsum(vals, [grp, value_col], ["__c"], group_col=grp)
     n = vals.groupBy(grp).agg(F.sum("__c").alias("__n"))
