@@ -45,7 +45,7 @@ class WordIds:
     are its words' ids in order.  The cache holds two generations of at most
     ``most`` words; words in use move on to the younger."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
         self.tok, self.most, self.young, self.old = Tokenizer.from_file(path), most, {}, {}
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a word
