@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.llm.common import _ROLL, U64, batch, map_arrow, mix, rolling, spans, stash, text_blocks, words_of
+from txnguard.llm.common import _ROLL, U64, batch, map_arrow, mix, rolling, spans, stash, text_blocks, unstash, words_of
 
 ANCHOR_WORDS = 10
 
@@ -147,9 +147,11 @@ def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     segs = stash(map_arrow(docs, _segments(size), "doc_id long, ck long, anchor long, c1 long, c2 long, first long, last long"), "op6-segments")
     content = segs.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("source"), F.count("*").alias("times"))
     content = stash(content, "op6-contents")
-    block = content.groupBy("anchor").agg(F.min("source").alias("oldest"), F.count("*").alias("kinds"), F.sum("times").alias("n"))
-    some = content.join(block.filter("n > 1"), "anchor").select("anchor", "c1", "c2", "source", "oldest", "kinds")
-    state = stash(segs.join(some, ["anchor", "c1", "c2"]), "op6-state")
+    block = content.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("n")).filter("n > 1")
+    some = content.join(block.select("anchor", "kinds"), "anchor").select("anchor", "c1", "c2", "source", "kinds")
+    state = segs.join(some, ["anchor", "c1", "c2"]).filter("source < doc_id or source = doc_id and kinds > 1")
+    state = stash(state.select("doc_id", "ck", "first", "last", "source", "kinds"), "op6-state")
+    unstash(segs, content)
     whole = state.filter("source < doc_id")
     edge = state.filter("source = doc_id and kinds > 1")
     parts = edge.groupBy("doc_id", "ck").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
@@ -159,5 +161,7 @@ def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     found = w.join(seen, ["w1", "w2"]).filter("source < doc_id").select("doc_id", "ck", F.col("at").alias("first"), F.col("at").alias("last"))
     cover = (whole.select("doc_id", "ck", "first", "last").union(found)
              .groupBy("doc_id", "ck").agg(F.collect_set(F.struct("first", "last")).alias("parts")))
+    cover = stash(cover, "op6-cover")
+    unstash(state, w)
     return map_arrow(docs.join(cover, ["doc_id", "ck"], "left").select("doc_id", "text", "parts"), _cut(size),
                      "doc_id long, n_words long, n_removed long, kept string, factors array<array<long>>")
