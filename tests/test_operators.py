@@ -153,3 +153,37 @@ def test_review_fold(spark):
         ("closed", "ann", "BLOCK", 0.6, "extreme")
     acc, rej = review.reject_unknown(ev, "closed")
     assert [x["review_id"] for x in rej.collect()] == ["r2"]
+
+
+def test_payload_hash_keeps_all_digits_and_large_values(spark):
+    df = spark.createDataFrame([(1, 0.12345671), (2, 0.12345674), (3, 1e13)], "i int, x double")
+    got = df.select(scalar.payload_hash(F.create_map(F.lit("a"), F.col("x"))).alias("h")).distinct().count()
+    assert got == 3
+
+
+def test_nan_scores_go_to_review(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 0.1), (0.4, nan), (0.9, nan), (0.4, 9.0)], "p_xgb double, ae_err double")
+    df = df.withColumn("ae_bucket", policy.ae_bucket("ae_err", 1.0, 2.0))
+    assert [r["ae_bucket"] for r in df.collect()] == ["normal", "normal", "normal", "extreme"]
+    assert [r["decision"] for r in df.select(*policy.policy_api()).collect()] == ["REVIEW", "REVIEW", "BLOCK", "BLOCK"]
+    assert [r["decision"] for r in df.select(*policy.policy_ae_first(ae_block=2.0)).collect()] == ["REVIEW", "REVIEW", "BLOCK", "BLOCK"]
+    assert df.select(policy.policy_scaled_band()).first()["decision"] == "Review"
+    assert [r["ae_triage"] for r in df.select(policy.policy_ae_triage(review=1.0, block=2.0)).collect()] == [0, 0, 0, 2]
+
+
+def test_gated_second_model_joins_by_the_given_key(spark):
+    from txnguard.operators import ml
+    df = spark.range(20_000).withColumn("p", (F.col("id") % 10) / 10).repartition(5)
+    g = ml.gated_second_model(df, F.col("p") > 0.5, lambda d: d.withColumn("ae_err", F.col("id") * 2.0), "id")
+    assert g.where("p > 0.5 and ae_err <> id * 2 or p <= 0.5 and ae_err is not null").count() == 0
+    assert g.count() == 20_000
+
+
+def test_drift_drops_nan(spark):
+    rows = [(float(i % 97),) for i in range(2000)]
+    base, cur = (spark.createDataFrame(r, "x double") for r in (rows, [(v + 3.0,) for v, in rows]))
+    nan = spark.createDataFrame([(float("nan"),)] * 30 + [(None,)] * 5, "x double")
+    want = drift.psi_report(base, cur).first()["psi"]
+    got = drift.psi_report(base.union(nan), cur.union(nan)).first()
+    assert got["is_numeric"] and got["psi"] == pytest.approx(want, abs=1e-12)

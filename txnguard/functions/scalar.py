@@ -148,12 +148,12 @@ def checkout_flags(account_age_days="account_age_days", amount="amount",
 def payload_hash(m) -> Column:
     """SHA-256 over the key-sorted ``key=value`` entries of a map column.
 
-    Key order of the input never matters; numbers are rendered through
-    DECIMAL(18,6) text so that every engine prints them alike.
+    Key order of the input never matters; values enter with all their digits
+    (pass decimals or strings where engines must print them alike).
     """
     entries = F.array_sort(F.map_entries(_c(m)))
     txt = F.transform(entries, lambda e: F.concat(
-        e["key"], F.lit("="), F.coalesce(e["value"].cast("decimal(18,6)").cast("string"), F.lit("null"))))
+        e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("null"))))
     return F.sha2(F.array_join(txt, "|"), 256)
 
 

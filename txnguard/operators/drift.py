@@ -28,12 +28,14 @@ MODERATE_BELOW = 0.25
 
 
 def to_long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
-    """(side, feature, text value, numeric value); missing text is 'nan'."""
-    parts = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in features)
+    """(side, feature, text value, numeric value); missing text is 'nan'.
+    NaN counts as missing."""
+    real = {c for c, t in df.dtypes if t in ("double", "float")}
+    parts = ", ".join(f"'{c}', CAST({f'nanvl(`{c}`, NULL)' if c in real else f'`{c}`'} AS STRING)" for c in features)
     long = df.selectExpr(f"stack({len(features)}, {parts}) AS (feature, s)")
+    x = F.nanvl(F.col("s").try_cast("double"), F.lit(None).cast("double"))
     return long.select(F.lit(side).alias("side"), "feature",
-                       F.coalesce(F.col("s"), F.lit("nan")).alias("s"),
-                       F.col("s").try_cast("double").alias("x"))
+                       F.coalesce(F.col("s"), F.lit("nan")).alias("s"), x.alias("x"))
 
 
 def feature_types(long: DataFrame) -> DataFrame:

@@ -167,14 +167,12 @@ def reconstruction_error(df: DataFrame, ae: dict, features: str = "features", ou
     return arr.mapInPandas(run, schema)
 
 
-def gated_second_model(df: DataFrame, gate: Column, second) -> DataFrame:
+def gated_second_model(df: DataFrame, gate: Column, second, key: str) -> DataFrame:
     """Run ``second`` (a DataFrame -> DataFrame scorer adding ae_err) only on
-    rows passing ``gate`` and join the result back; other rows get null and
-    bucket ``n/a``.  (A UDF inside ``when`` would still see every row.)"""
-    key = "__rid"
-    base = df.withColumn(key, F.monotonically_increasing_id())
-    scored = second(base.where(gate)).select(key, "ae_err")
-    return base.join(scored, key, "left").drop(key)
+    rows passing ``gate`` and join the result back by ``key`` (unique); other
+    rows get null.  (A UDF inside ``when`` would still see every row.)"""
+    scored = second(df.where(gate)).select(key, "ae_err")
+    return df.join(scored, key, "left")
 
 
 def pca_2d(df: DataFrame, features: str = "features") -> DataFrame:

@@ -156,8 +156,8 @@ x AS (SELECT c.case_name AS case,
              CASE WHEN c.case_name = 'nan' THEN 'NaN'::DOUBLE WHEN c.case_name = 'zeros' THEN 0.0 ELSE p_xgb * c.f END AS p,
              CASE WHEN c.case_name = 'nan' THEN 'NaN'::DOUBLE WHEN c.case_name = 'zeros' THEN 0.0 ELSE ae_err * c.f END AS e
       FROM txn, cases c),
-d AS (SELECT x.case, CASE WHEN p < 0.05 THEN 'APPROVE' WHEN p >= 0.8 THEN 'BLOCK'
-                     WHEN (CASE WHEN p >= 0.05 AND p < 0.8 THEN e END) >= thr.ae_block THEN 'BLOCK' ELSE 'REVIEW' END AS decision
+d AS (SELECT x.case, CASE WHEN p < 0.05 THEN 'APPROVE' WHEN p >= 0.8 AND NOT isnan(p) THEN 'BLOCK'
+                     WHEN (CASE WHEN p >= 0.05 AND p < 0.8 AND NOT isnan(e) THEN e END) >= thr.ae_block THEN 'BLOCK' ELSE 'REVIEW' END AS decision
       FROM x, thr)
 SELECT "case", decision, count(*) AS n, bool_and(decision IN ('APPROVE', 'REVIEW', 'BLOCK')) AS all_valid
 FROM d GROUP BY ALL""")

@@ -149,6 +149,7 @@ PAYLOAD_TEXT = """'cat__event_type_' || event_type || '=1.000000|num__amount=' |
 def _payload(t, reverse=False):
     pairs = [(F.lit("num__p"), F.col("p_xgb")), (F.lit("num__amount"), F.col("amount")),
              (F.concat(F.lit("cat__event_type_"), F.col("event_type")), F.lit(1.0))]
+    pairs = [(k, v.cast("decimal(18,6)")) for k, v in pairs]  # exact here, and printed alike by every engine
     if reverse:
         pairs = pairs[::-1]
     return F.create_map(*[x for kv in pairs for x in kv])

@@ -242,7 +242,7 @@ def q_gated(spark, sf_dir):
     # gray zone on a score derived from the first component (binding)
     e = e.withColumn("p_xgb", F.abs(vector_to_array("features")[0]) * 2)
     gate = policy.in_gray_zone("p_xgb", XGB_T_LOW, XGB_T_HIGH)
-    g = ml.gated_second_model(e, gate, lambda d: ml.reconstruction_error(d, ae))
+    g = ml.gated_second_model(e, gate, lambda d: ml.reconstruction_error(d, ae), "vec_id")
     return g.groupBy(gate.alias("in_gray_zone")).agg(F.count(F.lit(1)).alias("n"),
                                                       F.count("ae_err").alias("n_scored"))
 

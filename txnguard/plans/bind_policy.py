@@ -223,8 +223,9 @@ PAYLOAD_TEXT_SQL = """'cat__event_type_' || event_type || '=1.000000|num__amount
 
 
 def payload_map():
-    return F.create_map(F.lit("num__p"), F.col("p_xgb"), F.lit("num__amount"), F.col("amount"),
-                        F.concat(F.lit("cat__event_type_"), F.col("event_type")), F.lit(1.0))
+    exact = "decimal(18,6)"  # printed alike by every engine
+    return F.create_map(F.lit("num__p"), F.col("p_xgb").cast(exact), F.lit("num__amount"), F.col("amount").cast(exact),
+                        F.concat(F.lit("cat__event_type_"), F.col("event_type")), F.lit(1.0).cast(exact))
 
 
 @query("resp_decision_record", with_(TXN, THR, SCORED, FEAT_SQL, EXPLAIN_SQL) + f"""

@@ -21,8 +21,8 @@ def decisions(spark, sf_dir):
     """Decision log: one row per scored transaction.  The payload is
     (event type, score), so many decisions share a payload hash / review id."""
     s = scored_txn(spark, sf_dir)
-    m = F.create_map(F.concat(F.lit("cat__event_type_"), F.col("event_type")), F.lit(1.0),
-                     F.lit("num__p"), F.col("p_xgb"))
+    m = F.create_map(F.concat(F.lit("cat__event_type_"), F.col("event_type")), F.lit(1.0).cast("decimal(18,6)"),
+                     F.lit("num__p"), F.col("p_xgb").cast("decimal(18,6)"))
     h = scalar.payload_hash(m)
     rid = scalar.review_id(h)
     path = F.when((F.col("decision") == "REVIEW") & (F.pmod(F.col("txn_id"), F.lit(4)) != 1),
