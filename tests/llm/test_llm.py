@@ -169,6 +169,13 @@ def test_packing(spark, edge):
     odd = ["İstanbul ΣΑΣ a\x1cb c\xa0d é it's don't... x., <|endoftext|>z 12ab3 　日本", ".. , . a."]
     raw = packing.word_ids(path).encode(odd)
     assert [np.frombuffer(r, "<u4").tolist() for r in raw] == [tok.encode(t, add_special_tokens=False).ids for t in odd]
+    small = packing.WordIds(path, most=20)  # words move between generations
+    rng = random.Random(9)
+    some = ["it's", "don't...", "x.,", "stop!?", "Été", "ΑΒΓ", "12ab3", "日本", "a\u00a0b", "c\u2003d", "e\u0301", "İs", "<|endoftext|>", "<|ENDOFTEXT|>",
+            "a\x1db", "$5", "end.'s", "%%%", "naïve;", "x(y)z", "ǅ", "ﬁn*", " ", "\n", ""] + [chr(97 + i) * 3 for i in range(26)]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(some, k=rng.randrange(12))) for _ in range(5)]
+        assert [np.frombuffer(r, "<u4").tolist() for r in small.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_plan_is_valid_and_tight():

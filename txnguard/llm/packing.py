@@ -30,89 +30,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnguard.llm.common import batch, map_arrow, stash
 
-_BLANK = re.compile(r"[ \n\t\r]+")
+_ODD = re.compile("[\x1c-\x1f]")  # white space for Arrow, not for the tokenizer
+_TAIL = ".,;:!?&#$%*"  # marks that may stand behind a word's letters; no part of a special token or contraction
+
+
+class _Table:
+    """Ids of words, all in one array; a word's slot tells which are its own."""
+
+    def __init__(self):
+        self.slots: dict[str, int] = {}
+        self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct words that it doesn't have yet."""
+        n = len(self.sizes)
+        self.slots.update(zip(words, range(n, n + len(words)), strict=True))
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def take(self, words: list[str], which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the words in turn (or of those that ``which`` names),
+        and where each word's begin and end."""
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        slots = slots if which is None else slots[which]
+        begins, n = np.cumsum(self.sizes) - self.sizes, self.sizes[slots]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[np.repeat(begins[slots] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class WordIds:
     """Token ids of whole texts from a cache of blank-separated words.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in order.  The cache holds two generations of at most
-    ``most`` words; words in use move on to the younger."""
-
-    def __init__(self, path: str, most: int = 200_000):
-        from tokenizers import Tokenizer
-        self.tok, self.most, self.young, self.old = Tokenizer.from_file(path), most, {}, {}
+    are its lowered words' ids in order.  Texts whose lowering is not sure (final
+    sigma, other normal forms, special tokens) go to the tokenizer whole.  The
+    cache holds two generations of about ``most`` words; words in use move on to
+    the younger."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.bare = Tokenizer.from_file(path)  # for words of letters in lower case: no more than blanks to split at
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(
+            add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        self.tok, self.most, self.young, self.old = Tokenizer.from_file(path), most, _Table(), _Table()
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a word
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        if "Σ" not in text and unicodedata.is_normalized("NFC", text):
+    def lower(text: str) -> str | None:
+        """The text as the tokenizer lowers it, or None where that, or where it
+        splits, is not sure."""
+        if "Σ" not in text and "<|" not in text and not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
             low = text.lower()
             if unicodedata.is_normalized("NFC", low):
-                text = low  # as the tokenizer would; fewer distinct words
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
-            return [w for w in _BLANK.split(text) if w]
-        return text.split()
+                return low
+        return None
 
     def learn(self, words: set[str]) -> None:
-        """Puts the ids of new words into the cache."""
-        young, old = self.young, self.old
-        if "." not in young:
-            for c, e in zip(".,", self.tok.encode_batch([".", ","], add_special_tokens=False), strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
-        plain, rest, tailed = set(), [], []
+        """Puts the ids of words into the younger generation, which has none of them."""
+        kept = [w for w in words if w in self.old.slots]
+        if kept:
+            ids, ends = self.old.take(kept)
+            self.young.add(kept, np.diff(ends), ids)
+            words = words.difference(kept)
+        plain, rest, tailed = [], [], {}
         for w in words:
-            ids = old.get(w)
-            if ids is not None:
-                young[w] = ids
-            elif w.isalpha():
-                plain.add(w)
-            elif w[-1] in ".," and (s := w[:-1]).isalpha():
-                # the stop or comma behind a word is a token of its own
-                ids = young.get(s) or old.get(s)
-                if ids is None:
-                    plain.add(s)
-                    tailed.append(w)
-                else:
-                    young[w] = ids + young[w[-1]]
+            if w.isalpha():
+                plain.append(w)
+            elif (stem := w.rstrip(_TAIL)).isalpha():
+                tailed[w] = stem
             else:
                 rest.append(w)
-        todo = list(plain)
-        for i in range(0, len(todo), 512):  # letters only: one run of tokens up to an end of word each
-            some = todo[i: i + 512]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        for i in range(0, len(plain), 512):  # letters only: one run of tokens up to an end of word each
+            some = plain[i: i + 512]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
-                raw, at = ids.tobytes(), 0
-                for s, e in zip(some, (4 * cut).tolist(), strict=True):
-                    young[s] = raw[at:e]
-                    at = e
+                self.young.add(some, np.diff(cut, prepend=0), ids)
             else:
                 rest += some
-        for s, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            young[s] = np.array(e.ids, "<u4").tobytes()
-        for w in tailed:
-            young[w] = young[w[:-1]] + young[w[-1]]
+        if rest:
+            each = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+            self.young.add(rest, np.array([len(e) for e in each]), np.concatenate(each))
+        if tailed:  # marks behind letters are a run of tokens of their own
+            parts = [p for w, stem in tailed.items() for p in (stem, w[len(stem):])]
+            self.learn({p for p in parts if p not in self.young.slots})
+            ids, ends = self.young.take(parts)
+            self.young.add(list(tailed), np.diff(ends[::2]), ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        split = [self.words(t) for t in texts]
-        found = [list(map(self.young.get, ws)) for ws in split]
-        new = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, i in zip(ws, ids, strict=True) if i is None}
+        if len(self.young.slots) > self.most:
+            self.young, self.old = _Table(), self.young
+        lowered = [self.lower(t) for t in texts]
+        odd = [i for i, t in enumerate(lowered) if t is None]
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in lowered], pa.large_string()))
+        coded = split.flatten().dictionary_encode()  # each word is looked up once for all texts
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = set(words).difference(self.young.slots)
         if new:
             self.learn(new)
-            get = self.young.__getitem__
-            found = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(split, found, strict=True)]
-        return [b"".join(ids) for ids in found]
+        ids, ends = self.young.take(words, which)
+        ends = ends[split.offsets.to_numpy()]
+        out = [ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        for i in odd:
+            out[i] = np.array(self.tok.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return out
 
 
 _IDS: dict[str, WordIds] = {}
@@ -125,13 +154,29 @@ def word_ids(path: str) -> WordIds:
     return _IDS[path]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
+    """Document ids and whole texts, by blocks of about ``most`` characters;
+    the more texts share a block, the fewer words are looked up."""
+    docs, texts, chars = [], [], 0
+    for b in batches:
+        for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            docs.append(doc)
+            texts.append(text or "")
+            chars += len(texts[-1])
+            if chars >= most:
+                yield docs, texts
+                docs, texts, chars = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         ids, step, stop = word_ids(path), 4 * capacity, np.array([end], "<u4").tobytes()
-        for b in batches:
+        for docs, texts in _blocks(batches):
             rows = []
-            for doc, raw in zip(b["doc_id"].to_pylist(), ids.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
+            for doc, raw in zip(docs, ids.encode(texts), strict=True):
                 raw += stop
                 rows += [(doc, k, k * capacity, len(p) // 4, zlib.crc32(p)) for k, i in enumerate(range(0, len(raw), step))
                          for p in [raw[i: i + step]]]
