@@ -45,23 +45,32 @@ class _Table:
 
     def __init__(self):
         self.slots: dict[str, int] = {}
-        self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, "<u4")
+        self.sizes, self.ids, self.uses = np.empty(0, np.int64), np.empty(0, "<u4"), np.empty(0, np.int64)
 
     def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Distinct words that it doesn't have yet."""
         n = len(self.sizes)
         self.slots.update(zip(words, range(n, n + len(words)), strict=True))
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def take(self, words: list[str], which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the words in turn (or of those that ``which`` names),
         and where each word's begin and end."""
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         slots = slots if which is None else slots[which]
+        self.uses += np.bincount(slots, minlength=len(self.uses))
         begins, n = np.cumsum(self.sizes) - self.sizes, self.sizes[slots]
         ends = np.concatenate([[0], np.cumsum(n)])
         return self.ids[np.repeat(begins[slots] - ends[:-1], n) + np.arange(ends[-1])], ends
 
+    def repeated(self) -> _Table:
+        """The words that were taken more than once."""
+        out, words = _Table(), [w for w, n in zip(self.slots, self.uses.tolist(), strict=True) if n > 1]
+        ids, ends = self.take(words)
+        out.add(words, np.diff(ends), ids)
+        return out
+
 
 class WordIds:
     """Token ids of whole texts from a cache of blank-separated words.
@@ -69,8 +78,8 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so a text's ids
     are its lowered words' ids in order.  Texts whose lowering is not sure (final
     sigma, other normal forms, special tokens) go to the tokenizer whole.  The
-    cache holds two generations of about ``most`` words; words in use move on to
-    the younger."""
+    cache holds two generations, the younger of about ``most`` words, the older
+    of those of its words that came again; words in use move on to the younger."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -127,7 +136,7 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.young.slots) > self.most:
-            self.young, self.old = _Table(), self.young
+            self.young, self.old = _Table(), self.young.repeated()
         lowered = [self.lower(t) for t in texts]
         odd = [i for i, t in enumerate(lowered) if t is None]
         split = pc.utf8_split_whitespace(pa.array([t or "" for t in lowered], pa.large_string()))
