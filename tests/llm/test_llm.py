@@ -296,6 +296,24 @@ def test_mixing_meets_every_marginal(spark, edge):
     assert mixing.probabilities(edge.limit(0), mixing.by_source_language_topic()).count() == 0
 
 
+def test_a_rare_cell_does_not_scale_the_mix(spark):
+    """One document of a source and language of its own is kept whole; the
+    token budget and the other documents' rates stay."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 99), rng.choice(["en", "en", "de", "fr"]), rng.choice("aaaab")) for i in range(3000)]
+    schema = "doc_id long, text string, lang string, source string"
+
+    def rates(rows):
+        out = mixing.probabilities(table(spark, rows, schema), mixing.by_source_language_topic()).withColumn("n", mixing.words_in())
+        share = out.agg(F.sum(F.col("n") * F.col("mix_p")) / F.sum("n")).first()[0]
+        return share, {r["doc_id"]: r["mix_p"] for r in out.collect()}
+    share, p = rates(rows)
+    share_odd, q = rates([*rows, (-1, "w " * 100, None, "odd")])
+    assert share == pytest.approx(0.5, rel=1e-3) and share_odd == pytest.approx(0.5, rel=1e-3)
+    assert q[-1] == 1.0
+    assert max(abs(p[i] - q[i]) for i in p) < 0.02
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
