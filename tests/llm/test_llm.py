@@ -226,6 +226,23 @@ def test_language_on_edge_cases(spark, edge):
     assert langid.identify(edge.limit(0), F.lit(False)).count() == 0
 
 
+def test_every_language_is_a_class(spark):
+    """Forty languages, each of letters of its own; the 33rd and later ones are
+    learned as the others are, and too many labels are refused."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        letters = [chr(0x4E00 + 64 * i + k) for k in range(12)]
+        rows += [(100 * i + j, " ".join("".join(rng.choices(letters, k=5)) for _ in range(30)), f"l{i:02d}") for j in range(20 if i < 32 else 12)]
+    docs = table(spark, rows, "doc_id long, text string, lang string")
+    out = langid.identify(docs, F.col("doc_id") % 100 < 4).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert {r["lang_pred"] for r in out} == {f"l{i:02d}" for i in range(40)}
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.9 * len(out)
+    many = spark.range(langid.CLASSES + 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="distinct"):
+        langid.train(many)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 8)) + rng.integers(0, 4, (400, 1)) * 4

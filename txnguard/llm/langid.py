@@ -9,9 +9,11 @@ states; a document's probabilities are the mean over its positions.  Texts of
 any length are read whole, in segments of ``SEGMENT`` bytes.
 
 Training: backpropagation through time in numpy on the driver, on at most
-``per_lang`` documents of each of the ``max_langs`` most frequent languages
-(smallest id hashes first) and one segment-wide stretch of ``EXCERPT``
-characters of each, a bound that doesn't grow with the data.
+``per_lang`` documents of every language (smallest id hashes first) and one
+segment-wide stretch of ``EXCERPT`` characters of each, a bound that grows with
+the number of languages only.  Every distinct non-null lang of the learned rows
+is a class; beyond ``CLASSES`` of them the column holds no languages, and
+``train`` refuses.  Beyond 32 classes states and steps grow with the classes.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0;
 rows with null lang are never learned from; with no labelled row at all every
@@ -34,6 +36,8 @@ from txnguard.llm.common import batch, map_arrow, text_blocks
 SEGMENT = 96
 EXCERPT = 400
 HIDDEN = 8
+#: Labels beyond this number are refused.
+CLASSES = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -188,16 +192,20 @@ def _predict(net: ByteNet, langs: list[str], width: int = 2048):
     return run
 
 
-def train(labelled: DataFrame, per_lang: int = 300, max_langs: int = 32) -> tuple[ByteNet | None, list[str]]:
+def train(labelled: DataFrame, per_lang: int = 300) -> tuple[ByteNet | None, list[str]]:
     """Fits on ``labelled (doc_id, text, lang)``; at most ``per_lang`` rows of
     each language come to the driver, an excerpt of each."""
     rows = labelled.filter("text is not null and lang is not null and length(text) > 0")
-    langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = rows.groupBy("lang").count()
+    langs = {r["lang"]: r["count"] for r in counts.orderBy(F.desc("count"), "lang").limit(CLASSES + 1).collect()}
     if not langs:
         return None, []
+    if len(langs) > CLASSES:
+        raise ValueError(f"lang has more than {CLASSES} distinct values")
     # by a hash of the id: about 1.5 * per_lang rows of each language, of which the smallest hashes stay
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    below = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(min(1.0, 1.5 * per_lang / n) * (1 << 40)))) for k, n in langs.items()), F.lit(0))
+    bounds = F.create_map(*(x for k, n in langs.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.5 * per_lang / n) * (1 << 40))))))
+    below = F.coalesce(bounds[F.col("lang")], F.lit(0))
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - EXCERPT)).cast("int") + 1
     found = (rows.filter(u < below).select("lang", u.alias("u"), F.substring("text", at, F.lit(EXCERPT)).alias("text"))
              .orderBy("lang", "u", "text").collect())
@@ -208,9 +216,10 @@ def train(labelled: DataFrame, per_lang: int = 300, max_langs: int = 32) -> tupl
             sample.append(r)
     raw = [r["text"].encode() for r in sample]
     x, lens, doc = columns(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    y = np.array([langs.index(r["lang"]) for r in sample])[doc]
-    net = ByteNet(len(langs))
-    net.fit(x, y, lens)
+    place = {k: i for i, k in enumerate(langs)}
+    y = np.array([place[r["lang"]] for r in sample])[doc]
+    net = ByteNet(len(langs), max(HIDDEN, len(langs) // 4))
+    net.fit(x, y, lens, steps=240 * -(-len(langs) // 32))
     return net, langs
 
 
