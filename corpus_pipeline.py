@@ -21,9 +21,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
-    kept = ngram_join.ngram_join(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest id of each near-duplicate class, null
+    ids last.  Rows are told apart by a hash of id and text, so rows without an
+    id and different texts under one id are each judged; only rows that repeat
+    both are one document."""
+    d = docs.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_key"))
+    classes = ngram_join.ngram_join(d.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "class_id")
+    # the document that was judged under a key: rows that share the key by chance are kept
+    judged = d.groupBy("row_key").agg(F.min(F.struct("text_key", "doc_id")).alias("judged"))
+    judged = judged.join(classes, "row_key")
+    order = F.struct(F.col("judged.doc_id").isNull(), F.col("judged.doc_id"), F.col("judged.text_key"), F.col("row_key"))
+    kept = judged.groupBy("class_id").agg(F.min_by("row_key", order).alias("row_key")).select("row_key", F.lit(True).alias("kept"))
+    judged = judged.join(kept, "row_key", "left").select("row_key", "judged", "kept")
+    other = ~(F.col("text_key") == F.col("judged.text_key")) | ~F.col("doc_id").eqNullSafe(F.col("judged.doc_id"))
+    d = d.join(judged, "row_key").filter(F.col("kept").isNotNull() | other)
+    return d.dropDuplicates(["row_key", "doc_id", "text_key"]).select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,40 @@ def edge(spark):
     return table(spark, [*rows, rows[0], rows[4]])
 
 
+@pytest.fixture(scope="module")
+def ids(spark):
+    """Null ids, and different texts under one id; 20 and 21 repeat one text, a
+    null id repeats another."""
+    rng = random.Random(14)
+    t = [" ".join(f"q{rng.randrange(9000)}" for _ in range(120)) for _ in range(6)]
+    rows = [(20, t[0]), (21, t[0]), (22, t[1]), (22, t[2]), (None, t[3]), (None, t[4]), (None, t[1] + " tail"), (23, t[5]), (23, t[5])]
+    return table(spark, [(i, x, "en", "a", len(x), 0.0, "k") for i, x in rows]), t
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark, ids):
+    import corpus_pipeline
+    docs, t = ids
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(20, t[0]), (22, t[1]), (22, t[2]), (None, t[3]), (None, t[4]), (23, t[5])], key=str)
+    # the rows' keys alone decide, so their order and the number of partitions don't
+    again = corpus_pipeline.drop_near_copies(spark, docs.orderBy(F.desc("text")).repartition(7), SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in again.collect()), key=str) == got
+
+
+def test_passages_and_fingerprints_of_null_and_repeated_ids(spark, ids):
+    docs, t = ids
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs).collect()), key=str)
+    want = [(20, 120, 0, t[0]), (21, 120, 120, ""), (22, 120, 0, t[1]), (22, 120, 0, t[2]), (23, 120, 0, t[5]), (23, 120, 0, t[5]),
+            (None, 120, 0, t[3]), (None, 120, 0, t[4]), (None, 121, 0, t[1] + " tail")]
+    assert got == sorted(want, key=str)
+    f = fingerprint.fingerprints(docs).collect()
+    assert len(f) == 9 and sum(r["doc_id"] is None for r in f) == 3
+    by = {r["n_chars"]: r["fingerprint"] for r in fingerprint.fingerprints(docs.withColumn("doc_id", F.lit(1).cast("long"))).collect()}
+    assert all(by[r["n_chars"]] == r["fingerprint"] for r in f if r["doc_id"] is None)
+
+
 def test_near_duplicates_on_edge_cases(spark, edge):
     got = {r["doc_id"]: r for r in ngram_join.ngram_join(edge).collect()}
     assert len(got) == 10

@@ -13,7 +13,8 @@ Sign lanes are summed three to a 64-bit number, 21 bits each, over blocks of
 2**20 paragraphs, so no sum overflows however long the text.
 
 Defined cases: null texts count as empty and have the zero fingerprint, two of
-them have likeness 1; equal doc_ids are ordered by text; extra columns are
+them have likeness 1; equal doc_ids are ordered by text; rows with a null doc_id stand in
+no order, so the text behind them is the empty one; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -133,15 +134,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def below(arr):
         return F.size(F.filter(arr, lambda b: b < F.col(key)))
     jump = below(coarse) * step
-    d = docs.select(key, F.coalesce(text, F.lit("")).alias(text)).filter(F.col(key).isNotNull())
-    d = d.withColumn("range", (jump + below(F.slice(every, jump + 1, step))).cast("int"))
-    firsts = [r["m"] for r in d.groupBy("range").agg(F.min(key).alias("m")).collect()]  # one per range
+    d = docs.select(key, F.coalesce(text, F.lit("")).alias(text))
+    # rows without a key are dealt by their text to ranges below 0
+    none = -1 - F.pmod(F.xxhash64(text), F.lit(4096))
+    d = d.withColumn("range", F.when(F.col(key).isNull(), none).otherwise(jump + below(F.slice(every, jump + 1, step))).cast("int"))
+    firsts = [r["m"] for r in d.filter(F.col(key).isNotNull()).groupBy("range").agg(F.min(key).alias("m")).collect()]  # one per range
     where = F.struct(F.col("range").alias("range"), F.lit(0).alias("halo"))
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(k)).cast("int").alias("range"), F.lit(1).alias("halo"))
     d = d.withColumn("w", F.explode(F.when(F.col(key).isin(firsts), F.array(where, before)).otherwise(F.array(where))))
     d = d.select(key, text, "w.range", "w.halo")
     w = Window.partitionBy("range").orderBy("halo", key, text)
-    d = d.withColumn("next", F.lead(text).over(w)).withColumn("r", F.row_number().over(w))
+    d = d.withColumn("next", F.when(F.col(key).isNull(), "").otherwise(F.lead(text).over(w))).withColumn("r", F.row_number().over(w))
     return d.filter("halo = 0").drop("halo")
 
 

@@ -18,8 +18,9 @@ documents are linked when the Jaccard similarity of their sets is >= 0.8.
    verified links.
 
 Defined cases: null, empty and blank texts have no shingles and no link (class
-= own id); of rows that repeat a doc_id one text is taken (smallest hash); an empty table
-gives an empty result; extra columns are ignored.
+= own id); rows with a null doc_id give no row, as in its SQL; of rows that repeat a doc_id
+one text is taken (smallest hash), so who has such rows passes a key of id and text (as the
+pipeline does); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Everything grows linearly: no pair of documents is ever emitted, and hot
 passages are minima combined before the shuffle.
 
 Defined cases: null, empty or shorter texts than ``size`` words lose nothing;
-rows that repeat a doc_id are each parsed against smaller ids only; an empty
+rows that repeat a doc_id are each parsed against smaller ids only; rows with a
+null doc_id stay whole and are no source, as in its SQL (null is never smaller); an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -143,7 +144,8 @@ def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     ``kept`` the words that stay, joined by one blank; ``factors`` the removed
     runs as ``[first word, end word)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.filter("doc_id is not null").withColumn("ck", F.xxhash64("text"))
+    docs = docs.withColumn("ck", F.xxhash64("text"))
+    every, docs = docs, docs.filter("doc_id is not null")
     segs = stash(map_arrow(docs, _segments(size), "doc_id long, ck long, anchor long, c1 long, c2 long, first long, last long"), "op6-segments")
     content = segs.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("source"), F.count("*").alias("times"))
     content = stash(content, "op6-contents")
@@ -163,5 +165,5 @@ def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
              .groupBy("doc_id", "ck").agg(F.collect_set(F.struct("first", "last")).alias("parts")))
     cover = stash(cover, "op6-cover")
     unstash(state, w)
-    return map_arrow(docs.join(cover, ["doc_id", "ck"], "left").select("doc_id", "text", "parts"), _cut(size),
+    return map_arrow(every.join(cover, ["doc_id", "ck"], "left").select("doc_id", "text", "parts"), _cut(size),
                      "doc_id long, n_words long, n_removed long, kept string, factors array<array<long>>")
