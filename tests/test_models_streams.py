@@ -106,3 +106,19 @@ def test_reproducibility_signature_stable(spark):
     s1 = io.reproducibility_signature(t, ["txn_id"]).first()
     s2 = io.reproducibility_signature(t.repartition(3), ["txn_id"]).first()
     assert s1 == s2 and s1["n_rows"] == 200
+
+
+def test_signature_covers_every_row(spark):
+    t = spark.range(1000).select(F.col("id").alias("txn_id"), (F.col("id") % 7).alias("amount"))
+    whole = io.whole_signature(t).first()
+    late = t.withColumn("amount", F.when(F.col("txn_id") == 900, 99).otherwise(F.col("amount")))
+    assert whole["n_rows"] == 1000
+    assert io.whole_signature(late).first()["signature"] != whole["signature"]
+    assert io.whole_signature(t.orderBy(F.desc("txn_id"))).first() == whole
+    assert E.queries()["sink_reproducibility_signature"](spark, SF001).first()["n_rows"] == txn(spark, SF001).count()
+
+
+def test_registry_config_with_large_ids(spark):
+    from txnguard.plans import bind_review
+    d = spark.createDataFrame([(250_000, 1, "old"), (1, 2, "new")], "id long, created long, model_version string")
+    assert bind_review.registry_config(d).first()["active_version"] == "new"

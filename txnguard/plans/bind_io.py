@@ -190,7 +190,7 @@ def q_report(spark, sf_dir):
 @query("sink_reproducibility_signature")
 def q_signature(spark, sf_dir):
     t = txn(spark, sf_dir).select("txn_id", "amount", "label")
-    return io.reproducibility_signature(t, ["txn_id"], 200)
+    return io.whole_signature(t)
 
 
 del A, read_table

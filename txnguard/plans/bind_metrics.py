@@ -175,7 +175,7 @@ def q_mcnemar(spark, sf_dir):
 @query("eval_bootstrap_ci")
 def q_bootstrap(spark, sf_dir):
     """Resampling statistic: checked against a NumPy computation in tests."""
-    return metrics.bootstrap_ci(preds(spark, sf_dir), "label", "pred_xgb", "pred_hybrid", n_boot=2000, seed=42)
+    return metrics.bootstrap_ci(preds(spark, sf_dir), "label", "pred_xgb", "pred_hybrid", n_boot=5000, seed=42)
 
 
 SC_SQL = with_(TXN, THR, SCORED)

@@ -292,13 +292,18 @@ def q_feedback_exists(spark, sf_dir):
     return ok.unionByName(bad)
 
 
+def registry_config(dec):
+    """The version of the newest decision (by created, then id) and their number."""
+    return dec.agg(F.max_by("model_version", F.struct("created", "id")).alias("active_version"),
+                   F.count(F.lit(1)).alias("n_decisions"))
+
+
 @query("join_registry_config", ST + """
 , cfg AS (SELECT arg_max(model_version, created * 100000 + id) AS active_version, count(*) AS n_decisions FROM dec2)
 SELECT id, model_version, active_version, model_version = active_version AS is_active FROM dec2, cfg""")
 def q_registry(spark, sf_dir):
     d = decisions(spark, sf_dir)
-    cfg = d.agg(F.max_by("model_version", F.col("created") * 100000 + F.col("id")).alias("active_version"),
-                F.count(F.lit(1)).alias("n_decisions"))  # one row: broadcast
+    cfg = registry_config(d)  # one row: broadcast
     return d.crossJoin(F.broadcast(cfg)).select("id", "model_version", "active_version",
                                                 (F.col("model_version") == F.col("active_version")).alias("is_active"))
 

@@ -114,3 +114,11 @@ def reproducibility_signature(df: DataFrame, order: Sequence[str], n: int = 200)
     h = F.xxhash64(F.row_number().over(w), *[F.col(c) for c in df.columns])
     return head.select(h.cast("decimal(38,0)").alias("h")).agg(
         F.sum("h").cast("string").alias("signature"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def whole_signature(df: DataFrame) -> DataFrame:
+    """Signature of all rows, whatever their order: each row is hashed with the
+    places of its nulls, and the hashes are summed exactly as DECIMAL(38,0)."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns], *[F.col(c).isNull() for c in df.columns])
+    return df.select(h.cast("decimal(38,0)").alias("h")).agg(
+        F.sum("h").cast("string").alias("signature"), F.count(F.lit(1)).alias("n_rows"))
