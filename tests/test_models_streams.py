@@ -122,3 +122,12 @@ def test_registry_config_with_large_ids(spark):
     from txnguard.plans import bind_review
     d = spark.createDataFrame([(250_000, 1, "old"), (1, 2, "new")], "id long, created long, model_version string")
     assert bind_review.registry_config(d).first()["active_version"] == "new"
+
+
+def test_bootstrap_query_runs_every_resample(spark, monkeypatch):
+    """As many resamples as the reference and the operator's default."""
+    from txnguard.plans import bind_metrics
+    seen = []
+    monkeypatch.setattr(bind_metrics.metrics, "bootstrap_ci", lambda *a, n_boot=5000, **k: seen.append(n_boot))
+    E.queries()["eval_bootstrap_ci"](spark, SF001)
+    assert seen == [5000]
