@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnguard.llm import ann, chat, fingerprint, langid, mixing, ngram_join, packing, secrets, substring_dedup, toxicity
+from txnguard.llm import (ann, chat, fingerprint, langid, mixing, ngram_join, packing, secrets, source_audit,
+                          substring_dedup, toxicity)
 from txnguard.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +137,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.probabilities(read_table(spark, sf_dir, "documents"), mixing.by_source_language_topic())
     return out.select("doc_id", "mix_cell.source", "mix_cell.lang", "mix_cell.topic", F.col("mix_factor").alias("factor"),
                       F.col("mix_p").alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+@query
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and their marked terms."""
+    return source_audit.audit(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_source_divergence_audit"] = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+w AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(t.total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (kept.lang_n + 5)) // (l.total + 5 * l.v)::HUGEINT AS q
+  FROM g JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+  AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
