@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from txnguard.session import ensure_checkpoint_dir
 
@@ -23,8 +24,9 @@ _BLOCK = 1 << 18  # bytes hashed at a time
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.  Cuts the
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, with a
+    folder for each value of its last column if ``by`` names it.  Cuts the
     lineage, so that a lost executor never repeats what stands before it; the
     write's shuffle files are of no more use and go with it."""
     spark = df.sparkSession
@@ -32,7 +34,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEANUP, before)
     where, files = _path(spark, path)
@@ -63,7 +65,7 @@ def fold(key: str, parts: int) -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str, rows: int = 256) -> DataFrame:
+              schema: str | StructType, rows: int = 256) -> DataFrame:
     """``mapInArrow`` with small batches, so that long texts fit a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)

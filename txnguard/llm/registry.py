@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnguard.llm import (ann, chat, fingerprint, langid, mixing, ngram_join, packing, secrets, source_audit,
+from txnguard.llm import (ann, chat, fingerprint, langid, mixing, ngram_join, packing, secrets, sharding, source_audit,
                           substring_dedup, toxicity)
 from txnguard.llm.common import fold, read_table
 
@@ -169,3 +169,12 @@ ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 written shards, in uniformly random order."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return sharding.shard(read_table(spark, sf_dir, "documents"), 24).select(
+        "row.doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
