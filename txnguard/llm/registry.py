@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnguard.llm import (ann, chat, fingerprint, langid, mixing, ngram_join, packing, secrets, sharding, source_audit,
-                          substring_dedup, toxicity)
+                          spelling, substring_dedup, toxicity)
 from txnguard.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,32 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 24).select(
         "row.doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words and the form that each is of."""
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_spelling_variants"] = """
+WITH RECURSIVE t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc, run, count(*) AS n FROM t GROUP BY ALL HAVING length(run) >= 7),
+b AS (SELECT *, flatten(list_transform(regexp_extract_all(hex(encode(doc || ':' || run)), '..'), lambda h: [
+    CAST(16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1 AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM r),
+h AS (SELECT run, n, xor(4294967295, list_reduce([4294967295] || steps,
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h FROM b),
+e AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.cut
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.cut),
+m AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS best, max(near_n) AS best_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form,
+  CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN m USING (word)),
+k(word, root) AS (SELECT word, word FROM f UNION ALL SELECT k.word, f.form FROM k JOIN f ON f.word = k.root WHERE f.form IS NOT NULL),
+z AS (SELECT k.word, k.root FROM k JOIN f ON f.word = k.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)
+"""
