@@ -50,7 +50,7 @@ def scored_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.enrich_velocity(txn(spark, sf_dir))
+    return windows.enrich(txn(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- flagship
@@ -77,17 +77,19 @@ def q_vel_incl(spark, sf_dir):
 
 @query("win_velocity_prior")
 def q_vel_prior(spark, sf_dir):
-    return txn(spark, sf_dir).select("txn_id", *windows.velocity_prior_cols())
+    return windows.velocity_prior(txn(spark, sf_dir).select("txn_id", "device_id", "t")).drop("device_id", "t")
 
 
 @query("win_rolling_mean_50")
 def q_roll50(spark, sf_dir):
-    return windows.rolling_mean_chunked(txn(spark, sf_dir)).select("txn_id", "avg_amount_50")
+    t = txn(spark, sf_dir).select("txn_id", "device_id", "t", "amount")
+    return windows.rolling_mean_chunked(t).select("txn_id", "avg_amount_50")
 
 
 @query("win_rolling_mean_7d")
 def q_roll7d(spark, sf_dir):
-    return txn(spark, sf_dir).select("txn_id", windows.rolling_mean_range(t="epoch_s"))
+    t = txn(spark, sf_dir).select("txn_id", "device_id", "epoch_s", "amount")
+    return windows.rolling_mean_7d(t).select("txn_id", "avg_amount_7d")
 
 
 @query("win_zscore_device")
@@ -97,7 +99,8 @@ def q_zdev(spark, sf_dir):
 
 @query("win_zscore_pit")
 def q_zpit(spark, sf_dir):
-    return txn(spark, sf_dir).select("txn_id", windows.zscore_pit())
+    t = txn(spark, sf_dir).select("txn_id", "device_id", "t", "amount")
+    return windows.zscore_point_in_time(t).select("txn_id", "amount_zscore_pit")
 
 
 # ---------------------------------------------------------------- calibration / policy

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnguard.plans.scale import exact_quantiles
+from txnguard.plans.scale import between, exact_quantiles, quantile_bounds
 
 
 def r6(c: Column) -> Column:
@@ -66,15 +67,22 @@ def volume_by_day(df: DataFrame, time_s: str) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count/mean/std(sample)/min/quartiles/max per numeric column (long form)."""
-    long = unpivot(df, cols, name="feature", value="v")
-    base = long.groupBy("feature").agg(
-        F.count("v").alias("count"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("std"),
-        r6(F.min("v")).alias("min"), r6(F.max("v")).alias("max"))
-    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"]).groupBy("feature").agg(
-        *[r6(F.max(F.when(F.col("p") == p, F.col("q")))).alias(n)
-          for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return base.join(q, "feature", "left")
+    """count/mean/std(sample)/min/quartiles/max per numeric column (long form),
+    all from one shuffle of counts per distinct value."""
+    long = unpivot(df, cols, name="feature", value="v").where(F.col("v").isNotNull())
+    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.DISK_ONLY)
+    v, c = F.col("v").cast("double"), F.col("c")
+    base = counts.groupBy("feature").agg(F.sum("c").alias("count"), (F.sum(v * c) / F.sum("c")).alias("__mu"), F.min("v").alias("min"), F.max("v").alias("max"))
+    d = v - F.col("__mu")
+    spread = counts.join(base, "feature").groupBy("feature").agg(F.sum(d * d * c).alias("__ss"))
+    q = quantile_bounds(counts, ["feature"], "v", "c", [0.25, 0.5, 0.75])
+    q = q.withColumn("q", between(F.col("lo"), F.col("hi"), F.col("frac"))).groupBy("feature").agg(
+        *[r6(F.max(F.when(F.col("p") == p, F.col("q")))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("__ss") / (F.col("count") - 1)))
+    out = base.join(spread, "feature").join(q, "feature", "left").select(
+        "feature", "count", r6(F.col("__mu")).alias("mean"), r6(std).alias("std"), r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"), "q25", "q50", "q75")
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")  # columns without a value have count 0
+    return names.join(out, "feature", "left").fillna(0, ["count"])
 
 
 def error_summary(df: DataFrame, err: str, group: str) -> DataFrame:

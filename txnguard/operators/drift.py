@@ -1,9 +1,10 @@
 """Population stability (PSI) drift report, all features in one pass.
 
-Baseline and current tables are unpivoted to ``(feature, text, num)`` so
-every feature shares the same shuffles; quantile edges come from the
-distributed exact quantiles of ``txnguard.plans.scale`` (groups = features,
-a schema-bounded count), and bins are found with
+Baseline and current tables are unpivoted and collapsed in one shuffle to
+``(feature, text, number, count per side)``; the type test, the quantile edges
+(one selection for the clipping bounds and all edges: clipping keeps the order,
+so a quantile of clipped values lies between the clipped values beside it), the
+bins and the categories are all read from these counts.  Bins are found with
 ``size(filter(edges, e -> e <= v))`` against the per-feature edge array.
 """
 
@@ -15,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnguard.plans.scale import exact_quantiles
+from txnguard.plans.scale import between, quantile_bounds
 
 # Fixed values of the PSI definition.
 MIN_ROWS = 50
@@ -38,11 +39,21 @@ def to_long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
                        F.coalesce(F.col("s"), F.lit("nan")).alias("s"), x.alias("x"))
 
 
+def collapse(long: DataFrame) -> DataFrame:
+    """``(feature, s, x, e, a)``: rows of either side per distinct value.  Kept on
+    disk, as all parts of a report read it (a lost part is computed again)."""
+    return long.groupBy("feature", "s", "x").agg(F.count_if(F.col("side") == "baseline").alias("e"),
+                                                 F.count_if(F.col("side") == "current").alias("a")).persist(StorageLevel.DISK_ONLY)
+
+
 def feature_types(long: DataFrame) -> DataFrame:
     """numeric when more than 98 % of baseline values parse as numbers."""
-    b = long.where(F.col("side") == "baseline")
-    return b.groupBy("feature").agg(
-        (F.avg(F.col("x").isNotNull().cast("double")) > NUMERIC_SHARE).alias("is_numeric"))
+    return _types(collapse(long))
+
+
+def _types(c: DataFrame) -> DataFrame:
+    return c.where("e > 0").groupBy("feature").agg(
+        (F.sum(F.when(F.col("x").isNotNull(), F.col("e")).otherwise(0)) / F.sum("e") > NUMERIC_SHARE).alias("is_numeric"))
 
 
 def _psi_terms(e_cnt: Column, a_cnt: Column, e_tot: Column, a_tot: Column, k: Column) -> Column:
@@ -53,55 +64,53 @@ def _psi_terms(e_cnt: Column, a_cnt: Column, e_tot: Column, a_tot: Column, k: Co
     return (a - e) * F.log(a / e)
 
 
-def _sum_psi(cells: DataFrame, key: str) -> DataFrame:
-    """cells: (feature, key, e_cnt, a_cnt) -> (feature, psi)."""
-    w = Window.partitionBy("feature")
-    c = (cells.withColumn("e_tot", F.sum("e_cnt").over(w)).withColumn("a_tot", F.sum("a_cnt").over(w))
-         .withColumn("k", F.count(F.lit(1)).over(w)))
-    return c.groupBy("feature").agg(F.sum(_psi_terms(F.col("e_cnt"), F.col("a_cnt"), F.col("e_tot"),
-                                                     F.col("a_tot"), F.col("k"))).alias("psi"))
-
-
 def psi_numeric(long: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     """PSI per numeric feature; null ("unknown") with < 50 values a side,
     0 when fewer than 3 distinct edges remain."""
-    # read by the counts, both quantile passes and the binning: keep it
-    num = long.where(F.col("x").isNotNull()).select("feature", "side", "x").persist(StorageLevel.DISK_ONLY)
-    counts = num.groupBy("feature").agg(F.count_if(F.col("side") == "baseline").alias("n_e"),
-                                        F.count_if(F.col("side") == "current").alias("n_a"))
-    ok = counts.where((F.col("n_e") >= MIN_ROWS) & (F.col("n_a") >= MIN_ROWS)).select("feature")
-    num = num.join(ok, "feature", "left_semi")
-    base = num.where(F.col("side") == "baseline")
-    clip = exact_quantiles(base, "x", list(CLIP_Q), ["feature"]).groupBy("feature").agg(
-        F.max(F.when(F.col("p") == CLIP_Q[0], F.col("q"))).alias("lo"),
-        F.max(F.when(F.col("p") == CLIP_Q[1], F.col("q"))).alias("hi"))
-    clipped = num.join(clip, "feature").withColumn("xc", F.least(F.greatest(F.col("x"), F.col("lo")), F.col("hi")))
+    return _psi_numeric(collapse(long), n_bins)
+
+
+def _psi_numeric(c: DataFrame, n_bins: int) -> DataFrame:
+    num = c.where(F.col("x").isNotNull())
+    edges = quantile_edges(num.where("e > 0"), n_bins)
+    bins = num.join(edges, "feature", "left")
+    x = F.least(F.greatest(F.col("x"), F.col("lo")), F.col("hi"))
+    bins = bins.withColumn("bin", F.least(F.size(F.filter("edges", lambda v: v <= x)), F.size("edges") - 1))
+    per = bins.groupBy("feature").agg(F.sum("e").alias("n_e"), F.sum("a").alias("n_a"), F.max(F.size("edges") - 1).alias("k"),
+                                      *[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col(s))), F.lit(0)).alias(f"{s}{i}")
+                                        for i in range(1, n_bins + 1) for s in "ea"])
+    k = F.col("k")
+    terms = [F.when(k >= i, _psi_terms(F.col(f"e{i}"), F.col(f"a{i}"), F.col("n_e"), F.col("n_a"), k)).otherwise(0.0) for i in range(1, n_bins + 1)]
+    psi = F.when((F.col("n_e") >= MIN_ROWS) & (F.col("n_a") >= MIN_ROWS), F.when(k < 2, 0.0).otherwise(sum(terms[1:], terms[0])))
+    return per.select("feature", psi.alias("psi"))
+
+
+def quantile_edges(counts: DataFrame, n_bins: int = N_BINS, count: str = "e") -> DataFrame:
+    """``(feature, lo, hi, edges)`` of ``counts (feature, x, <count>)``: the
+    clipping bounds and the distinct edges of ``n_bins`` quantile bins between them."""
     probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = (exact_quantiles(clipped.where(F.col("side") == "baseline"), "xc", probs, ["feature"])
-             .groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges")))
-    # edges: at most n_bins + 1 values per feature
-    binned = clipped.join(edges, "feature").where(F.size("edges") >= 3).select(
-        "feature", "side", F.least(F.size(F.filter("edges", lambda e: e <= F.col("xc"))),
-                                   F.size("edges") - 1).alias("bin"))
-    cnt = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "baseline").alias("e_cnt"),
-                                                F.count_if(F.col("side") == "current").alias("a_cnt"))
-    all_bins = edges.where(F.size("edges") >= 3).select(
-        "feature", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"))
-    cells = all_bins.join(cnt, ["feature", "bin"], "left").fillna(0, ["e_cnt", "a_cnt"])
-    psi = _sum_psi(cells, "bin")
-    flat = edges.where(F.size("edges") < 3).select("feature", F.lit(0.0).alias("psi"))
-    unknown = counts.join(ok, "feature", "left_anti").select("feature", F.lit(None).cast("double").alias("psi"))
-    return psi.unionByName(flat).unionByName(unknown)
+    q = quantile_bounds(counts, ["feature"], "x", count, [*CLIP_Q, *probs])
+    own = between(F.col("lo"), F.col("hi"), F.col("frac"))
+    at = F.struct("lo", "hi", "frac")
+    per = q.groupBy("feature").agg(F.max(F.when(F.col("p") == CLIP_Q[0], own)).alias("lo"), F.max(F.when(F.col("p") == CLIP_Q[1], own)).alias("hi"),
+                                   F.collect_list(F.when(F.col("p").isin(probs), at)).alias("at"))
+
+    def clip(v: Column) -> Column:
+        return F.least(F.greatest(v, F.col("lo")), F.col("hi"))
+    edges = F.transform("at", lambda r: between(clip(r["lo"]), clip(r["hi"]), r["frac"]))
+    return per.select("feature", "lo", "hi", F.array_sort(F.array_distinct(edges)).alias("edges"))
 
 
 def psi_categorical(long: DataFrame) -> DataFrame:
     """PSI over the union of categories (text values); <= 1 category -> 0."""
-    cnt = long.groupBy("feature", F.col("s").alias("cat")).agg(
-        F.count_if(F.col("side") == "baseline").alias("e_cnt"), F.count_if(F.col("side") == "current").alias("a_cnt"))
-    k = cnt.groupBy("feature").agg(F.count(F.lit(1)).alias("n_cat"))
-    psi = _sum_psi(cnt.join(k.where(F.col("n_cat") > 1), "feature", "left_semi"), "cat")
-    single = k.where(F.col("n_cat") <= 1).select("feature", F.lit(0.0).alias("psi"))
-    return psi.unionByName(single)
+    return _psi_categorical(collapse(long))
+
+
+def _psi_categorical(c: DataFrame) -> DataFrame:
+    cats = c.groupBy("feature", "s").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    total = cats.groupBy("feature").agg(F.sum("e").alias("n_e"), F.sum("a").alias("n_a"), F.count("*").alias("k"))
+    term = _psi_terms(F.col("e"), F.col("a"), F.col("n_e"), F.col("n_a"), F.col("k"))
+    return cats.join(total, "feature").groupBy("feature").agg(F.sum(F.when(F.col("k") > 1, term).otherwise(0.0)).alias("psi"))
 
 
 def status(psi: Column) -> Column:
@@ -116,10 +125,11 @@ def psi_report(baseline: DataFrame, current: DataFrame, features: Sequence[str]
     if features is not None:
         common = [c for c in common if c in set(features)]
     long = to_long(baseline, common, "baseline").unionByName(to_long(current, common, "current"))
-    types = feature_types(long)
-    num_f = long.join(types.where("is_numeric"), "feature", "left_semi")
-    cat_f = long.join(types.where("NOT is_numeric"), "feature", "left_semi")
-    psi = psi_numeric(num_f, n_bins).unionByName(psi_categorical(cat_f))
+    c = collapse(long)
+    types = _types(c)
+    num = c.join(types.where("is_numeric"), "feature", "left_semi")
+    cat = c.join(types.where("NOT is_numeric"), "feature", "left_semi")
+    psi = _psi_numeric(num, n_bins).unionByName(_psi_categorical(cat))
     return psi.join(types, "feature").withColumn("status", status(F.col("psi")))
 
 

@@ -6,7 +6,7 @@ legit rows (a linear autoencoder with the same bottleneck idea).  Scaling
 uses the population std (the MLlib scaler uses the sample std), one-hot
 encoding keeps train categories only (unknown -> all zeros).  Python runs
 only in Arrow-batched ``mapInPandas`` with small broadcast matrices
-(reconstruction error, exact minority kNN for SMOTE).
+(reconstruction error) and in the blocks of the metric index behind SMOTE.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many minority rows the exact kNN matrix is not broadcast.
-SMOTE_MAX_MINORITY = 200_000
+from txnguard.operators.neighbours import knn
+from txnguard.plans.scale import global_row_number
 
 
 # ---------------------------------------------------------------- scaling / encoding
@@ -190,59 +190,43 @@ def pca_2d(df: DataFrame, features: str = "features") -> DataFrame:
 
 
 # ---------------------------------------------------------------- SMOTE
+def minority_neighbours(df: DataFrame, features: str, label: str, key: str, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
+    """``(id, neighbours)`` of the minority rows among themselves, exactly."""
+    m = df.where(F.col(label) == minority).select(key, vector_to_array(features).alias("__x"))
+    return knn(m, key, "__x", k, seed=seed)
+
+
 def smote(df: DataFrame, features: str, label: str, key: str, minority: int = 1, k: int = 5,
           seed: int = 42) -> DataFrame:
     """Oversample the minority class to 1:1 with synthetic rows
     x + u * (nn - x), nn one of the k nearest minority neighbours (exact).
 
-    The minority matrix is broadcast after its size is checked; the kNN for
-    every minority row runs in Arrow batches spread over the cluster.  Each
-    base row's number of synthetic rows and every draw are functions of
-    (row rank, seed), so the result does not depend on partitioning.
-    """
-    spark = df.sparkSession
-    mino = df.where(F.col(label) == minority)
-    counts = df.agg(F.count_if(F.col(label) == minority).alias("n_min"),
-                    F.count_if(F.col(label) != minority).alias("n_maj")).first()
-    n_min, n_maj = counts["n_min"], counts["n_maj"]
-    if n_min > SMOTE_MAX_MINORITY:
-        raise ValueError(f"minority class has {n_min} rows; above {SMOTE_MAX_MINORITY} the exact kNN "
-                         "matrix is not broadcast")
-    need = max(0, n_maj - n_min)
-    if need == 0 or n_min < 2:
-        return df.withColumn("synthetic", F.lit(False))
-    m = mino.select(key, vector_to_array(features).alias("__x")).orderBy(key).toPandas()  # <= checked bound
-    mat = np.stack(m["__x"].to_numpy())
-    keys = m[key].to_numpy()
-    bc = spark.sparkContext.broadcast((keys, mat))
+    The minority stays distributed: its neighbours come from a metric index
+    (``operators.neighbours``), its rows' numbers of synthetic rows from their
+    rank in key order, and each row's neighbour and u from hashes of (key,
+    number, seed).  So any size works and the result does not depend on
+    partitioning.  ``key`` is a unique whole number; with fewer than two
+    minority rows, or a minority that is none, nothing is added."""
+    kind = df.schema[label].dataType
+    orig = df.select(F.col(key).cast("long").alias(key), F.lit(-1).alias("syn_idx"), features, label, F.lit(False).alias("synthetic"))
+    n_min, n_maj = df.agg(F.count_if(F.col(label) == minority), F.count_if(F.col(label) != minority)).first()
+    need = n_maj - n_min
+    if need <= 0 or n_min < 2:
+        return orig
     per, extra = divmod(need, n_min)
-    kk = min(k, n_min - 1)
-
-    def run(it):
-        ks, xm = bc.value
-        pos = {v: i for i, v in enumerate(ks)}
-        for pdf in it:
-            rows = []
-            for kid, x in zip(pdf[key].to_numpy(), pdf["__x"].to_numpy()):
-                i = pos[kid]
-                n_syn = per + (1 if i < extra else 0)
-                if n_syn == 0:
-                    continue
-                d = ((xm - np.asarray(x)) ** 2).sum(axis=1)
-                d[i] = np.inf
-                nn = np.argpartition(d, kk - 1)[:kk] if kk < len(d) else np.argsort(d)[:kk]
-                nn = nn[np.lexsort((nn, d[nn]))]
-                rng = np.random.default_rng([seed, int(i)])
-                for j in range(n_syn):
-                    nb = xm[nn[rng.integers(0, kk)]]
-                    u = rng.random()
-                    rows.append((int(kid), j, (np.asarray(x) + u * (nb - np.asarray(x))).tolist()))
-            yield pd.DataFrame(rows, columns=[key, "syn_idx", "__x"])
-    syn = mino.select(key, vector_to_array(features).alias("__x")).mapInPandas(
-        run, f"{key} long, syn_idx int, __x array<double>")
-    syn = syn.select(F.col(key), "syn_idx", array_to_vector("__x").alias(features),
-                     F.lit(minority).cast(df.schema[label].dataType).alias(label), F.lit(True).alias("synthetic"))
-    orig = df.select(key, F.lit(-1).alias("syn_idx"), features, label, F.lit(False).alias("synthetic"))
+    m = df.where(F.col(label) == minority).select(F.col(key).cast("long").alias("id"), vector_to_array(features).alias("x"))
+    near = minority_neighbours(df, features, label, key, minority, k, seed)
+    rank = global_row_number(m.select("id"), ["id"], "rank")
+    many = F.lit(per) + F.when(F.col("rank") <= extra, 1).otherwise(0)
+    base = m.join(rank, "id").join(near, "id").withColumn("many", many).where("many > 0")
+    base = base.select("id", "x", "neighbours", F.explode(F.sequence(F.lit(0), (F.col("many") - 1).cast("int"))).alias("syn_idx"))
+    which = F.pmod(F.xxhash64("id", "syn_idx", F.lit(seed), F.lit("neighbour")), F.size("neighbours")).cast("int")
+    u = F.shiftrightunsigned(F.xxhash64("id", "syn_idx", F.lit(seed), F.lit("u")), 11) / float(1 << 53)
+    base = base.select("id", "x", "syn_idx", F.get("neighbours", which)["id"].alias("other"), u.alias("u"))
+    syn = base.join(m.select(F.col("id").alias("other"), F.col("x").alias("y")), "other")
+    point = F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a))
+    syn = syn.select(F.col("id").alias(key), "syn_idx", array_to_vector(point).alias(features),
+                     F.lit(minority).cast(kind).alias(label), F.lit(True).alias("synthetic"))
     return orig.unionByName(syn)
 
 

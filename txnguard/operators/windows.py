@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnguard.plans.prefix import prefix_sums, previous, range_sums
 from txnguard.plans.scale import global_row_number
 
 # Velocity window lengths in (compressed) seconds.
@@ -93,15 +94,34 @@ def zscore_pit(col: str = "amount", device: str = "device_id", t: str = "t", tie
     return (F.bround(z, 3) + F.lit(0.0)).alias(out)
 
 
-def enrich_velocity(df: DataFrame) -> DataFrame:
-    """Velocity, 50-row rolling mean and device z-score (hot-device safe)."""
-    return zscore_device_agg(rolling_mean_chunked(velocity_chunked(df)))
+def enrich(df: DataFrame, wanted: Sequence[str] | None = None, device: str = "device_id", t: str = "t", tie: str = "txn_id") -> DataFrame:
+    """``df (device, t, unique tie, amount)`` with its device features: velocities,
+    ``is_new_device``, ``amount_zscore`` and ``avg_amount_50``; all of them, or
+    those that ``wanted`` names.  Each is built from the keys alone, so what is
+    not wanted is neither planned nor read (hot-device safe)."""
+    def need(*names: str) -> bool:
+        return wanted is None or bool(set(names) & set(wanted))
+    keys = df.select(device, t, tie, "amount")
+    out = velocity_chunked(df, device, t, tie) if need(*VELOCITY_WINDOWS) else df
+    if need("is_new_device", "amount_zscore"):
+        stats = keys.groupBy(F.col(device).alias("__device")).agg(
+            F.avg("amount").alias("__mu"), F.stddev_pop("amount").alias("__sd"),
+            F.min(F.struct(F.col(t).alias("a"), F.col(tie).alias("b"))).alias("__first"))
+        z = (F.col("amount") - F.col("__mu")) / (F.col("__sd") + F.lit(1e-9))
+        new = (F.col(t) == F.col("__first.a")) & (F.col(tie) == F.col("__first.b"))
+        out = out.join(stats, F.col(device).eqNullSafe(F.col("__device")), "left")
+        out = out.withColumns({"amount_zscore": F.bround(z, 3) + F.lit(0.0), "is_new_device": new}).drop("__device", "__mu", "__sd", "__first")
+    if need("avg_amount_50"):
+        mean = rolling_mean_chunked(keys, device=device, t=t, tie=tie).select(F.col(tie).alias("__tie"), "avg_amount_50")
+        out = out.join(mean, F.col(tie) == F.col("__tie"), "left").drop("__tie")
+    return out
 
 
-def time_order_violations(df: DataFrame, device: str, t: str, ingest: str) -> DataFrame:
-    """Rows whose time is earlier than the previous row of the device in ingest order."""
-    prev = F.lag(t).over(Window.partitionBy(device).orderBy(ingest))
-    return df.select(device, (F.col(t) < prev).alias("__v")).groupBy(device).agg(
+def time_order_violations(df: DataFrame, device: str, t: str, ingest: Sequence[str]) -> DataFrame:
+    """Rows per device whose time is earlier than that of the row before it in
+    ingest order, ``(whole number, unique tie)``; a hot device is split."""
+    prev = previous(df.select(device, t, *ingest), [device], *ingest, t, "__prev", bucket=1)
+    return prev.select(device, (F.col(t) < F.col("__prev")).alias("__v")).groupBy(device).agg(
         F.count_if("__v").alias("violations"))
 
 
@@ -150,19 +170,20 @@ def new_device_flag(df: DataFrame, token: str, t: str, tie: str, out: str = "is_
 
 def attempts_today(df: DataFrame, account: str, ts: str, tie: str, threshold: int = 3) -> DataFrame:
     """Trailing attempts of the account on the same UTC day, rapid retry if > 3."""
-    w = (Window.partitionBy(account, F.to_date(ts)).orderBy(F.col(ts), F.col(tie))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cnt = F.count(F.lit(1)).over(w)
-    return df.withColumn("attempts_today", cnt).withColumn("rapid_retry", cnt > threshold)
+    x = df.withColumns({"__day": F.to_date(ts), "__us": F.unix_micros(F.col(ts).cast("timestamp"))})
+    x = prefix_sums(x, [account, "__day"], "__us", tie, {"attempts_today": F.lit(1).cast("long")}, bucket=3_600_000_000)
+    cnt = F.col("attempts_today") + 1
+    return x.drop("__day", "__us").withColumn("attempts_today", cnt).withColumn("rapid_retry", F.col("attempts_today") > threshold)
 
 
 # ---------------------------------------------------------------- hot-device safe variants
-def _with_halo(df: DataFrame, chunk: Column, in_halo: Column) -> DataFrame:
-    """Rows with their chunk, plus copies of ``in_halo`` rows assigned to the
-    next chunk (flagged ``__halo``) so every chunk sees what its frames need."""
+def _with_halo(df: DataFrame, chunk: Column, in_halo: Column, need: Sequence[str]) -> DataFrame:
+    """Rows with their chunk, plus copies of the columns ``need`` of ``in_halo``
+    rows assigned to the next chunk (flagged ``__halo``) so every chunk sees
+    what its frames need."""
     base = df.withColumn("__chunk", chunk).withColumn("__halo", F.lit(False))
-    halo = df.where(in_halo).withColumn("__chunk", chunk + 1).withColumn("__halo", F.lit(True))
-    return base.unionByName(halo)
+    halo = df.select(*need).where(in_halo).withColumn("__chunk", chunk + 1).withColumn("__halo", F.lit(True))
+    return base.unionByName(halo, allowMissingColumns=True)
 
 
 def velocity_chunked(df: DataFrame, device: str = "device_id", t: str = "t", tie: str = "txn_id",
@@ -180,7 +201,7 @@ def velocity_chunked(df: DataFrame, device: str = "device_id", t: str = "t", tie
     tc = F.col(t)
     chunk = ((tc - F.pmod(tc, F.lit(c_len))) / c_len).cast("long")
     in_halo = F.pmod(tc, F.lit(c_len)) >= c_len - smax
-    x = _with_halo(df, chunk, in_halo)
+    x = _with_halo(df, chunk, in_halo, [device, t, tie])
     part = [device, "__chunk"]
     peers = F.count(F.lit(1)).over(Window.partitionBy(*part).orderBy(tc).rangeBetween(0, 0))
     pos_in_peers = (F.row_number().over(Window.partitionBy(*part).orderBy(tc, F.col(tie)))
@@ -196,21 +217,53 @@ def rolling_mean_chunked(df: DataFrame, col: str = "amount", n: int = 50, device
                          chunk_rows: int = 100_000) -> DataFrame:
     """Mean of the last ``n`` rows per device (exact cents, half-even) with
     each device cut into chunks of ``chunk_rows`` positions; a chunk also
-    gets the previous chunk's last n - 1 rows as halo.  Positions come from
-    the distributed running count, so a hot device never sorts in one task."""
-    from txnguard.plans.scale import global_cumsum
+    gets the previous chunk's last n - 1 rows as halo.  A row's position is the
+    count of the device's earlier rows, so a hot device never sorts in one task."""
     c_rows = max(chunk_rows, n)
-    one = df.withColumn("__one", F.lit(1).cast("long"))
-    pos = global_cumsum(one, [device, t, tie], ["__one"], group_col=device).withColumnRenamed("cum___one", "__pos")
-    p0 = F.col("__pos") - 1
+    p0 = F.col("__pos")
+    pos = prefix_sums(df, [device], t, tie, {"__pos": F.lit(1).cast("long")})
     chunk = ((p0 - F.pmod(p0, F.lit(c_rows))) / c_rows).cast("long")
     in_halo = F.pmod(p0, F.lit(c_rows)) >= c_rows - (n - 1)
-    x = _with_halo(pos.drop("__one"), chunk, in_halo)
+    x = _with_halo(pos, chunk, in_halo, [device, "__pos", col])
     w = Window.partitionBy(device, "__chunk").orderBy("__pos").rowsBetween(-(n - 1), Window.currentRow)
     m = (half_even_ratio(F.sum(cents(col)).over(w), F.count(col).over(w)) / 100.0).alias(out)
     return x.select("*", m).where(~F.col("__halo")).drop("__chunk", "__halo", "__pos")
 
 
+def velocity_prior(df: DataFrame, device: str = "device_id", t: str = "t", windows: dict | None = None) -> DataFrame:
+    """Strictly earlier rows within ``[t - s, t)``; a hot device is split."""
+    one = F.lit(1).cast("long")
+    return range_sums(df, [device], t, {name + "_prior": (one, -s, -1) for name, s in (windows or VELOCITY_WINDOWS).items()})
+
+
+def rolling_mean_7d(df: DataFrame, col: str = "amount", seconds: int = 7 * 86_400, device: str = "device_id",
+                    t: str = "epoch_s", out: str = "avg_amount_7d", bucket: int = 86_400) -> DataFrame:
+    """Mean of the trailing ``seconds`` up to and including the row's time, exact
+    cents rounded half-to-even; a hot device is split, no row is copied."""
+    frames = {"__sum": (cents(col), -seconds, 0), "__n": (F.col(col).isNotNull().cast("long"), -seconds, 0)}
+    x = range_sums(df, [device], t, frames, bucket)
+    mean = F.when(F.col("__n") > 0, half_even_ratio(F.col("__sum"), F.greatest("__n", F.lit(1))) / 100.0)
+    return x.withColumn(out, mean).drop("__sum", "__n")
+
+
+def zscore_point_in_time(df: DataFrame, col: str = "amount", device: str = "device_id", t: str = "t", tie: str = "txn_id",
+                         out: str = "amount_zscore_pit", bucket: int = 86_400) -> DataFrame:
+    """z-score of a money column against the device's strictly earlier rows
+    (null for the first), population std, rounded to 3.  Count, sum and sum of
+    squares of whole cents run up exactly, so the spread of equal amounts is 0."""
+    x, c = F.col(col), cents(col)
+    wide = c.cast("decimal(19,0)")
+    x_n = F.col(col).isNotNull().cast("long")
+    d = prefix_sums(df, [device], t, tie, {"__n": x_n, "__s": c, "__q": (wide * wide).cast("decimal(38,0)")}, bucket)
+    n, s, q = F.col("__n"), F.col("__s"), F.col("__q")
+    exact = [v.cast("decimal(38,0)") for v in (n, s)]
+    spread = F.try_subtract(F.try_multiply(exact[0], q), F.try_multiply(exact[1], exact[1])).cast("double")
+    spread = F.coalesce(spread, n.cast("double") * q.cast("double") - s.cast("double") * s.cast("double"))
+    sd = F.sqrt(F.greatest(spread, F.lit(0.0))) / (n * 100.0)
+    z = F.when(n > 0, (x - s / (n * 100.0)) / (sd + F.lit(1e-9)))
+    return d.withColumn(out, F.bround(z, 3) + F.lit(0.0)).drop("__n", "__s", "__q")
+
+
 def zscore_device_agg(df: DataFrame, col: str = "amount", device: str = "device_id",
                       out: str = "amount_zscore") -> DataFrame:
     """Whole-history device z-score from a partial aggregate joined back (a

@@ -44,13 +44,13 @@ SIGNALS = ["is_new_device", "is_proxy_vpn", "country_mismatch", "night_txn", "tx
 @query("agg_signal_by_class", FEAT + "SELECT label, count(*) AS n, "
        + ", ".join(f"round(avg(CAST({s} AS DOUBLE)), 6) AS mean_{s}" for s in SIGNALS) + " FROM feat GROUP BY label")
 def q_signal_by_class(spark, sf_dir):
-    return A.signal_by_class(features_txn(spark, sf_dir), "label", SIGNALS)
+    return A.signal_by_class(features_txn(spark, sf_dir, SIGNALS), "label", SIGNALS)
 
 
 @query("agg_flag_rates_by_class", FEAT + _union(
     [f"SELECT '{f}' AS flag, label, round(avg(CAST({f} AS DOUBLE)), 6) AS rate FROM feat GROUP BY label" for f in FLAGS]))
 def q_flag_rates(spark, sf_dir):
-    return A.flag_rates_by_class(features_txn(spark, sf_dir), "label", FLAGS)
+    return A.flag_rates_by_class(features_txn(spark, sf_dir, FLAGS), "label", FLAGS)
 
 
 @query("agg_fraud_rate_by_hour", with_(TXN) + """
@@ -76,7 +76,7 @@ SELECT feature, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v
        round(quantile_cont(v, 0.75), 6) AS q75
 FROM long GROUP BY feature""")
 def q_describe(spark, sf_dir):
-    return A.describe(features_txn(spark, sf_dir), DESCRIBE_COLS)
+    return A.describe(features_txn(spark, sf_dir, DESCRIBE_COLS), DESCRIBE_COLS)
 
 
 SPLIT_SQL = """sp AS (
@@ -123,7 +123,7 @@ cnt AS (SELECT "column", value, count(*) AS n FROM long GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM cnt)
 WHERE rank <= 10""")
 def q_top_categories(spark, sf_dir):
-    return A.top_categories(features_txn(spark, sf_dir), TOPCAT, 10)
+    return A.top_categories(features_txn(spark, sf_dir, []), TOPCAT, 10)
 
 
 CORR_COLS = ["amount", "p_xgb", "geo_distance_km", "txn_count_60m", "amount_zscore", "k"]
@@ -135,7 +135,7 @@ CORR_COLS = ["amount", "p_xgb", "geo_distance_km", "txn_count_60m", "amount_zsco
 SELECT * FROM (SELECT feature, abs_corr, row_number() OVER (ORDER BY abs_corr DESC NULLS LAST, feature) AS rank FROM c)
 WHERE rank <= 10""")
 def q_label_corr(spark, sf_dir):
-    return A.label_correlation(features_txn(spark, sf_dir), CORR_COLS, "label", 10)
+    return A.label_correlation(features_txn(spark, sf_dir, CORR_COLS), CORR_COLS, "label", 10)
 
 
 MATRIX_COLS = ["amount", "p_xgb", "geo_distance_km", "txn_count_60m", "txn_count_5m"]
@@ -146,7 +146,7 @@ MATRIX_COLS = ["amount", "p_xgb", "geo_distance_km", "txn_count_60m", "txn_count
      for i, a in enumerate(MATRIX_COLS) for b in MATRIX_COLS[i:]]) + """)
 SELECT a, b, corr FROM h UNION ALL SELECT b AS a, a AS b, corr FROM h WHERE a <> b""")
 def q_corr_matrix(spark, sf_dir):
-    return A.corr_matrix(features_txn(spark, sf_dir), MATRIX_COLS)
+    return A.corr_matrix(features_txn(spark, sf_dir, MATRIX_COLS), MATRIX_COLS)
 
 
 @query("agg_corr_top_flags", FEAT + """, c AS (""" + _union(
@@ -155,7 +155,7 @@ def q_corr_matrix(spark, sf_dir):
 SELECT * FROM (SELECT feature, abs_corr, row_number() OVER (ORDER BY abs_corr DESC NULLS LAST, feature) AS rank FROM c)
 WHERE rank <= 25""")
 def q_corr_top_flags(spark, sf_dir):
-    return A.corr_top_flags(features_txn(spark, sf_dir), ["amount", "geo_distance_km", "txn_count_60m"],
+    return A.corr_top_flags(features_txn(spark, sf_dir, ["txn_count_60m", *FLAGS]), ["amount", "geo_distance_km", "txn_count_60m"],
                             FLAGS, "label", 200, 25)
 
 
@@ -164,19 +164,19 @@ def q_corr_top_flags(spark, sf_dir):
 SELECT * FROM (SELECT flag, prevalence, row_number() OVER (ORDER BY prevalence DESC, flag) AS rank FROM c)
 WHERE rank <= 30""")
 def q_flag_prev(spark, sf_dir):
-    return A.active_flag_prevalence(features_txn(spark, sf_dir), FLAGS, 30)
+    return A.active_flag_prevalence(features_txn(spark, sf_dir, FLAGS), FLAGS, 30)
 
 
-def leakage_audit(df, device: str, t: str, ingest: str, label: str, velocity: str, first: str):
+def leakage_audit(df, device: str, t: str, ingest: list, key: str, label: str, velocity: str, first: str):
     """One-row audit: rows, columns, fraud rate, missing cells, duplicates,
     time-order violations (ingest order) and first-transaction velocity."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    miss = sum((quality._is_missing(c, types[c]).cast("long") for c in df.columns), F.lit(0))
+    miss = sum((quality._is_missing(c, types[c]).cast("long") for c in df.columns if c != key), F.lit(0))
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"),
                   A.r6(F.avg(F.col(label).cast("double"))).alias("fraud_rate"),
                   F.sum(miss).alias("missing_cells"),
                   A.r6(F.avg(F.when(F.col(first), (F.col(velocity) == 1).cast("double")))).alias("first_txn_velocity1_rate"))
-    dup = quality.duplicate_rows(df.drop(ingest))
+    dup = quality.duplicate_rows(df.drop(key))
     viol = windows.time_order_violations(df, device, t, ingest).agg(
         F.coalesce(F.sum("violations"), F.lit(0)).cast("long").alias("time_violations"))
     return base.crossJoin(dup).crossJoin(viol)
@@ -193,12 +193,10 @@ SELECT (SELECT count(*) FROM aud) AS n_rows, 8 AS n_cols, (SELECT round(avg(labe
        (SELECT CAST(coalesce(sum(x), 0) AS BIGINT) FROM (SELECT CASE WHEN t < lag(t) OVER (PARTITION BY device_id
           ORDER BY k, txn_id) THEN 1 ELSE 0 END AS x FROM aud)) AS time_violations""")
 def q_leakage(spark, sf_dir):
-    f = features_txn(spark, sf_dir).select("txn_id", "device_id", "k", "t", "amount", "label",
+    f = features_txn(spark, sf_dir, ["is_new_device", "txn_count_5m"]).select("txn_id", "device_id", "k", "t", "amount", "label",
                                            "is_new_device", "txn_count_5m")
     # ingest order = (k, txn_id): a replay order in which time can go back
-    f = f.withColumn("ingest", F.col("k").cast("long") * F.lit(10 ** 9) + F.col("txn_id"))
-    out = leakage_audit(f.drop("txn_id"), "device_id", "t", "ingest", "label", "txn_count_5m", "is_new_device")
-    return out.withColumn("n_cols", F.lit(8))
+    return leakage_audit(f, "device_id", "t", ["k", "txn_id"], "txn_id", "label", "txn_count_5m", "is_new_device")
 
 
 @query("agg_triage_fraud_capture", SC + """
@@ -393,7 +391,7 @@ SELECT feature, label, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((v - lo) /
        count(*) AS n
 FROM long JOIN mm USING (feature) WHERE v IS NOT NULL GROUP BY ALL""")
 def q_hist_by_class(spark, sf_dir):
-    return A.histogram_by_class(features_txn(spark, sf_dir), "label", HIST_SIGNALS, 20)
+    return A.histogram_by_class(features_txn(spark, sf_dir, HIST_SIGNALS), "label", HIST_SIGNALS, 20)
 
 
 def enrichment_report(df):
@@ -416,7 +414,7 @@ SELECT count(*) FILTER (WHERE label = 1) AS n_fraud, count(*) FILTER (WHERE labe
        round(avg(geo_distance_km), 6) AS mean_geo_distance_km, round(avg(txn_count_60m), 6) AS mean_txn_count_60m
 FROM feat""")
 def q_enrichment_report(spark, sf_dir):
-    return enrichment_report(features_txn(spark, sf_dir))
+    return enrichment_report(features_txn(spark, sf_dir, ["is_new_device", "txn_count_60m"]))
 
 
 @query("agg_latency_target", REQ + """

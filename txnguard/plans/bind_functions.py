@@ -24,7 +24,7 @@ SELECT txn_id, round_even(2 * 6371.0 * asin(sqrt(pow(sin((radians(lat_s) - radia
       + cos(radians(lat_b)) * cos(radians(lat_s)) * pow(sin((radians(lon_s) - radians(lon_b)) / 2), 2))), 1)
       AS geo_distance_km FROM feat""")
 def q_haversine(spark, sf_dir):
-    return features_txn(spark, sf_dir).select(
+    return features_txn(spark, sf_dir, []).select(
         "txn_id", scalar.haversine_km("lat_b", "lon_b", "lat_s", "lon_s").alias("geo_distance_km"))
 
 
@@ -69,7 +69,7 @@ SELECT txn_id, billing_country <> shipping_country AS country_mismatch,
 FROM j""")
 def q_mismatch(spark, sf_dir):
     c = checkout(spark, sf_dir)
-    f = features_txn(spark, sf_dir).select("txn_id", "billing_country", "shipping_country")
+    f = features_txn(spark, sf_dir, []).select("txn_id", "billing_country", "shipping_country")
     j = c.join(f, "txn_id")
     return j.select("txn_id", scalar.country_mismatch("billing_country", "shipping_country").alias("country_mismatch"),
                     scalar.country_mismatch("currency", "card_currency", null_safe=True).alias("currency_mismatch"))
@@ -244,7 +244,7 @@ ACTIVE = ["is_new_device", "is_proxy_vpn", "country_mismatch", "night_txn", "wee
 @query("fn_active_flags", FEAT + "SELECT txn_id, concat_ws(',', " + ", ".join(
     f"CASE WHEN {f} THEN 'cat__{f}_True' END" for f in ACTIVE) + ") AS active_flags FROM feat")
 def q_active_flags(spark, sf_dir):
-    f = features_txn(spark, sf_dir)
+    f = features_txn(spark, sf_dir, ACTIVE)
     m = F.create_map(F.lit("num__amount"), F.col("amount"),
                      *[x for a in ACTIVE for x in (F.lit(f"cat__{a}_True"), F.col(a).cast("double"))])
     return f.select("txn_id", F.array_join(scalar.active_flags(m), ",").alias("active_flags"))

@@ -179,7 +179,7 @@ def q_report(spark, sf_dir):
     Markdown rendering of that small table."""
     from txnguard.operators import quality
     from txnguard.plans.bindings import features_txn
-    rep = quality.missing_key_columns(features_txn(spark, sf_dir), ["txn_id", "amount", "label", "billing_country"])
+    rep = quality.missing_key_columns(features_txn(spark, sf_dir, []), ["txn_id", "amount", "label", "billing_country"])
     path = io.write_table(rep, io.scratch_path(spark, "report"))
     rows = spark.read.parquet(path).orderBy("column").collect()  # a handful of check rows
     md = "\n".join(["| column | missing | passed |", "|---|---|---|"]

@@ -88,8 +88,7 @@ def q_fn_scenarios(spark, sf_dir):
 SELECT device_id, CAST(count(*) FILTER (WHERE v) AS BIGINT) AS violations FROM (
   SELECT device_id, t < lag(t) OVER (PARTITION BY device_id ORDER BY k, txn_id) AS v FROM txn) GROUP BY device_id""")
 def q_order_violations(spark, sf_dir):
-    t = txn(spark, sf_dir).withColumn("ingest", F.col("k").cast("long") * F.lit(10 ** 9) + F.col("txn_id"))
-    return windows.time_order_violations(t, "device_id", "t", "ingest")
+    return windows.time_order_violations(txn(spark, sf_dir), "device_id", "t", ["k", "txn_id"])
 
 
 @query("win_first_txn_rate", with_(TXN, FEAT_SQL) + """
@@ -97,7 +96,7 @@ SELECT count(*) FILTER (WHERE is_new_device) AS n_first,
        round(avg(CASE WHEN txn_count_5m = 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE is_new_device), 6) AS velocity1_rate
 FROM feat""")
 def q_first_rate(spark, sf_dir):
-    f = features_txn(spark, sf_dir)
+    f = features_txn(spark, sf_dir, ["is_new_device", "txn_count_5m"])
     return f.agg(F.count_if("is_new_device").alias("n_first"),
                  A.r6(F.avg(F.when(F.col("is_new_device"), (F.col("txn_count_5m") == 1).cast("double"))))
                  .alias("velocity1_rate"))

@@ -30,7 +30,7 @@ SPLIT_SQL = """sp AS (
 
 
 def split_features(spark, sf_dir):
-    f = features_txn(spark, sf_dir).select("txn_id", "ts", "label", "p_xgb", "billing_country", *NUMERIC,
+    f = features_txn(spark, sf_dir, [*NUMERIC, *FLAGS]).select("txn_id", "ts", "label", "p_xgb", "billing_country", *NUMERIC,
                                            *[F.col(c).cast("string").alias(c) for c in FLAGS])
     return windows.time_split(f, ["ts", "txn_id"])
 
@@ -61,7 +61,7 @@ SELECT txn_id, CASE WHEN billing_country IN (SELECT billing_country FROM tc) THE
                     ELSE '' END AS active, CASE WHEN billing_country IN (SELECT billing_country FROM tc) THEN 1.0 ELSE 0.0 END
        AS n_active FROM sp""")
 def q_onehot(spark, sf_dir):
-    s = split_features(spark, sf_dir).join(features_txn(spark, sf_dir).select("txn_id", "k"), "txn_id")
+    s = split_features(spark, sf_dir).join(features_txn(spark, sf_dir, []).select("txn_id", "k"), "txn_id")
     cats = ml.train_categories(s.where((F.col("split") == "train") & (F.col("k") < 80)), ["billing_country"])
     o = ml.onehot(s.select("txn_id", "billing_country"), cats)
     names = [c for c in o.columns if c.startswith("cat__")]
@@ -114,7 +114,10 @@ def embedding_table(spark, sf_dir):
                     array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
 
 
-@query("ml_smote")
+@query("ml_smote", """
+WITH n AS (SELECT CASE WHEN label = 3 THEN 1 ELSE 0 END AS minority, count(*) AS n FROM embeddings GROUP BY 1),
+s AS (SELECT (SELECT n FROM n WHERE minority = 0) - (SELECT n FROM n WHERE minority = 1) AS need)
+SELECT minority, false AS synthetic, n FROM n UNION ALL SELECT 1, true, need FROM s WHERE need > 0""")
 def q_smote(spark, sf_dir):
     """Minority (embedding label 3) oversampled to 1:1 with k = 5 exact
     neighbours; counts per class and origin."""
@@ -122,6 +125,19 @@ def q_smote(spark, sf_dir):
     return s.groupBy("minority", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ml_smote_neighbours", """
+WITH m AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label = 3),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour,
+        sqrt(list_sum([(a.x[i] - b.x[i]) * (a.x[i] - b.x[i]) FOR i IN range(1, len(a.x) + 1)])) AS d FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS INTEGER) AS rank FROM d)
+SELECT vec_id, rank, neighbour, round(d, 6) AS distance FROM r WHERE rank <= 5""")
+def q_smote_neighbours(spark, sf_dir):
+    """The 5 nearest minority rows of each minority row."""
+    n = ml.minority_neighbours(embedding_table(spark, sf_dir), "features", "minority", "vec_id", minority=1, k=5)
+    n = n.select(F.col("id").alias("vec_id"), F.posexplode("neighbours").alias("i", "n"))
+    return n.select("vec_id", (F.col("i") + 1).alias("rank"), F.col("n.id").alias("neighbour"), F.round("n.d", 6).alias("distance"))
+
+
 def _train_gbt(spark, sf_dir, extra_train=None):
     x, names = model_table(spark, sf_dir)
     train = x.where(F.col("split") == "train")

@@ -166,7 +166,7 @@ def explained(spark, sf_dir):
     """Scored + business features + percentile of the gated anomaly score
     in the legit baseline + reason details."""
     s = scored_txn(spark, sf_dir)
-    f = features_txn(spark, sf_dir).select(
+    f = features_txn(spark, sf_dir, ["is_new_device", "txn_count_60m", "txn_count_30m", "amount_zscore"]).select(
         "txn_id", F.col("country_mismatch").cast("double").alias("f_country_mismatch"),
         F.col("is_new_device").cast("double").alias("f_new_device"),
         F.col("is_proxy_vpn").cast("double").alias("f_proxy"),

@@ -27,7 +27,7 @@ SELECT "column", n_missing, n_missing = 0 AS passed FROM (
   UNION ALL SELECT 'ts', c3 FROM a UNION ALL SELECT 'amount', c4 FROM a UNION ALL SELECT 'label', c5 FROM a
   UNION ALL SELECT 'billing_country', c6 FROM a UNION ALL SELECT 'shipping_country', c7 FROM a)""")
 def q_missing_keys(spark, sf_dir):
-    return quality.missing_key_columns(features_txn(spark, sf_dir), KEY_COLS)
+    return quality.missing_key_columns(features_txn(spark, sf_dir, []), KEY_COLS)
 
 
 @query("dq_value_ranges", FEAT + """
@@ -43,7 +43,7 @@ SELECT "check", n_violations, n_violations = 0 AS passed FROM (
   UNION ALL SELECT 'label_binary', c5 FROM a UNION ALL SELECT 'amount_below_400', c6 FROM a)""")
 def q_value_ranges(spark, sf_dir):
     c = F.col
-    return quality.value_ranges(features_txn(spark, sf_dir), {
+    return quality.value_ranges(features_txn(spark, sf_dir, ["txn_count_60m"]), {
         "amount_nonnegative": c("amount") >= 0,
         "score_in_unit_range": c("p_xgb").between(0, 1),
         "distance_nonnegative": c("geo_distance_km") >= 0,
@@ -74,7 +74,7 @@ def q_dupes(spark, sf_dir):
 def processed_payload(spark, sf_dir):
     """Processed-feature payload per transaction as a map; the point-in-time
     z-score is absent (not null) for a device's first transaction."""
-    t = txn(spark, sf_dir).select("*", windows.zscore_pit())
+    t = windows.zscore_point_in_time(txn(spark, sf_dir))
     m = F.map_filter(F.create_map(
         F.lit("num__amount"), F.col("amount"), F.lit("num__p"), F.col("p_xgb"),
         F.lit("num__zscore_pit"), F.col("amount_zscore_pit"),
@@ -140,7 +140,7 @@ SCHEMA_ORDER = ["txn_id", "label", "amount", "geo_distance_km", "country_mismatc
 
 @query("proj_schema_align", FEAT + "SELECT " + ", ".join(SCHEMA_ORDER) + " FROM feat")
 def q_schema_align(spark, sf_dir):
-    return quality.schema_align(features_txn(spark, sf_dir), SCHEMA_ORDER)
+    return quality.schema_align(features_txn(spark, sf_dir, SCHEMA_ORDER), SCHEMA_ORDER)
 
 
 @query("proj_identify_columns")
@@ -171,7 +171,7 @@ SELECT coalesce(CAST(amount AS DOUBLE), 0.0) AS num__amount, coalesce(CAST(txn_c
        0.0 AS num__ip_reputation, coalesce(CAST(geo_distance_km AS DOUBLE), 0.0) AS geo_distance_km FROM feat""")
 def q_map_features(spark, sf_dir):
     return quality.map_features_with_default(
-        features_txn(spark, sf_dir), ["num__amount", "num__txn_count_60m", "num__ip_reputation", "geo_distance_km"])
+        features_txn(spark, sf_dir, ["txn_count_60m"]), ["num__amount", "num__txn_count_60m", "num__ip_reputation", "geo_distance_km"])
 
 
 @query("proj_numeric_coerce", """

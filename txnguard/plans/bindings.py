@@ -9,19 +9,23 @@ latency / load-run operators.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnguard.functions import scalar
 from txnguard.operators import windows
+from txnguard.plans.prefix import range_sums
 from txnguard.sources.tables import country_dim, read_table, txn
 
 # Fixed values of the binding: proxy flag when k >= 90.
 PROXY_K = 90
 
 
-def features_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = txn(spark, sf_dir)
+def features_txn(spark: SparkSession, sf_dir: str, wanted: Sequence[str] | None = None) -> DataFrame:
+    """All features, or of the device features only those in ``wanted``."""
+    t = windows.enrich(txn(spark, sf_dir), wanted)
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("device_id"), F.col("c_nationkey").alias("billing_key"))
     dim = country_dim(spark, sf_dir)  # one row per nation: bounded by the nation table
@@ -33,8 +37,7 @@ def features_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
           .withColumn("shipping_key", F.pmod(F.col("k"), F.lit(25)))
           .join(F.broadcast(b), "billing_key", "left")
           .join(F.broadcast(s), "shipping_key", "left"))
-    df = windows.new_device_flag(df, "device_id", "t", "txn_id")
-    df = df.select(
+    return df.select(
         "*",
         scalar.haversine_km("lat_b", "lon_b", "lat_s", "lon_s").alias("geo_distance_km"),
         scalar.country_mismatch("billing_country", "shipping_country").alias("country_mismatch"),
@@ -42,8 +45,6 @@ def features_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalar.weekend_flag("ts").alias("weekend_txn"),
         (F.col("k") >= PROXY_K).alias("is_proxy_vpn"),
     )
-    # per-device windows in their hot-device safe form (chunked / aggregate)
-    return windows.enrich_velocity(df)
 
 
 FEAT_SQL = """cust AS (SELECT c_custkey AS device_id, c_nationkey AS billing_key FROM customer),
@@ -107,9 +108,10 @@ def checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule's range, currencies from the nation keys (billing nations with
     key % 5 = 0 carry no currency, to exercise missing fields), 24-hour
     velocity from a true 24-hour RANGE window on epoch seconds."""
-    f = features_txn(spark, sf_dir)
-    from pyspark.sql import Window
-    w24 = Window.partitionBy("device_id").orderBy("epoch_s").rangeBetween(-86399, 0)
+    f = features_txn(spark, sf_dir, ["is_new_device", "txn_count_60m"])
+    day = range_sums(txn(spark, sf_dir).select("txn_id", "device_id", "epoch_s"), ["device_id"], "epoch_s",
+                     {"velocity_24h": (F.lit(1).cast("long"), -86399, 0)})
+    f = f.join(day.select("txn_id", "velocity_24h"), "txn_id")
     cur = F.when(F.pmod(F.col("billing_key"), F.lit(5)) == 0, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit("C"), F.pmod(F.col("billing_key"), F.lit(3)).cast("string")))
     return f.select(
@@ -121,7 +123,7 @@ def checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
         cur.alias("currency"),
         F.concat(F.lit("C"), F.pmod(F.col("shipping_key"), F.lit(3)).cast("string")).alias("card_currency"),
         F.hour("ts").alias("hour"), F.col("txn_count_60m").alias("velocity_1h"),
-        F.count(F.lit(1)).over(w24).alias("velocity_24h"),
+        "velocity_24h",
         "is_new_device", "is_proxy_vpn")
 
 

@@ -1,16 +1,14 @@
 """Order-dependent aggregates without a single-partition window.
 
-A window with ORDER BY but no PARTITION BY puts every row in one task.  The
-helpers here keep the work distributed:
-
-* the input is range-partitioned on the sort key (``repartitionByRange``
-  samples the key, so a hot key cannot dominate once duplicates are
-  collapsed), sorted inside each partition and written once with a reliable
-  ``checkpoint()`` into the cluster checkpoint folder so that partition ids
-  are stable for the second pass;
-* per-partition totals (one row per partition: a proven size bound) give
-  each partition its offset through a broadcast join;
-* inside a partition the position / running sum is computed locally.
+A window with ORDER BY but no PARTITION BY puts every row in one task.  Here the
+order is cut into cells by the digits of the leading sort key, coarse and fine
+(``_digits``, a function of the value alone, non-decreasing in it), and by
+blocks of whole-number keys behind it.  What comes before a row is the sum of
+the coarse cells before its own, the fine cells before its own in the coarse
+one, and the rows before it in the fine cell.  Each part is a window over the
+cells of one coarser cell; sums of a coarser level stand in the finer window as
+a row before all others.  No job runs while a plan is built, nothing is written,
+and the result doesn't depend on how rows are dealt to tasks.
 
 ``global_cumsum`` expects unique sort keys; callers first ``groupBy`` the key
 (map-side combine), so a value repeated a billion times is one row.
@@ -18,77 +16,146 @@ helpers here keep the work distributed:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, TimestampNTZType, TimestampType
 
-from txnguard.session import ensure_checkpoint_dir
+#: cells per factor of two of the leading key: 2**COARSE, each cut into 2**(FINE - COARSE)
+COARSE, FINE = 8, 20
+#: digit levels of a selection
+LEVELS = (8, 24)
+#: whole-number keys behind the leading one are cut into blocks of 2**BLOCK
+BLOCK = 16
+_LAST = 1 << 60  # beyond the cells of all finite numbers
 
-_PID = "__pid"
 
-def _n_parts(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _number(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return (F.unix_date(name) if isinstance(kind, DateType) else F.col(name)).cast("double")
 
 
-def _sorted_checkpoint(df: DataFrame, order_cols: Sequence[str | Column]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(_n_parts(df), *order_cols).sortWithinPartitions(*order_cols)
-    return ranged.checkpoint(eager=True).withColumn(_PID, F.spark_partition_id())
-
-
-def global_row_number(df: DataFrame, order_cols: Sequence[str | Column],
-                      out: str = "row_num") -> DataFrame:
-    """1-based position of each row in the total order ``order_cols``.
-
-    The order must be total (end it with a unique key); ties are otherwise
-    broken arbitrarily, as in any sort.
-    """
-    ck = _sorted_checkpoint(df, order_cols)
-    mid = F.monotonically_increasing_id()
-    local = ck.withColumn("__local", mid - F.shiftleft(F.col(_PID).cast("long"), 33))
-    counts = ck.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per partition: ordering it in one task is bounded by the
-    # partition count, not by the data.
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (local.join(F.broadcast(offsets), _PID)
-            .withColumn(out, F.col("__off") + F.col("__local") + 1)
-            .drop(_PID, "__local", "__off"))
+def _digits(x: Column, depth: int = FINE) -> Column:
+    """Cell of a number, 2**depth to a factor of two.  ``e + |x| / 2**e - 1`` with ``e`` the whole part of
+    ``log2 |x|`` is a continuous, increasing stand-in for the logarithm, so a
+    cell never stands out of order, also where ``e`` is rounded wrongly."""
+    size = F.abs(x)
+    e = F.floor(F.log2(size)).cast("double")
+    cell = F.floor((e + size / F.pow(F.lit(2.0), e) + 1100.0) * float(1 << depth)).cast("long")
+    cell = F.when(x == 0, 0).when(x > 0, cell).otherwise(-cell)
+    return (F.when(x.isNull(), -_LAST - 1).when(F.isnan(x) | (x == float("inf")), _LAST).when(x == float("-inf"), -_LAST)
+            .otherwise(cell))
 
 
 def global_cumsum(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                   group_col: str | None = None, prefix: str = "cum_") -> DataFrame:
-    """Running sums of ``sum_cols`` in the total order ``order_cols``.
+    """Running sums of ``sum_cols`` in the total order ``order_cols``, whose first
+    column (behind ``group_col``) is a number, date or timestamp; nulls come first.
 
     With ``group_col`` (which must be ``order_cols[0]``) the running sums
     restart for every group.
     """
     if group_col is not None and order_cols[0] != group_col:
         raise ValueError("group_col must lead order_cols")
-    ck = _sorted_checkpoint(df, order_cols)
-    part = ck.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in sum_cols])
-    w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select(_PID, *[F.coalesce(F.sum(c).over(w_off), F.lit(0)).alias(f"__off_{c}")
-                                  for c in sum_cols])
-    w_loc = Window.partitionBy(_PID).orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    res = ck.join(F.broadcast(offsets), _PID)
-    res = res.select("*", *[(F.col(f"__off_{c}") + F.sum(c).over(w_loc)).alias(f"{prefix}{c}")
-                            for c in sum_cols])
-    if group_col is not None:
-        # what ran before a group's first row; one row per group and task is
-        # shuffled, no group total passes through a single task
-        first = F.struct(*order_cols)
-        starts = res.groupBy(group_col).agg(*[F.min_by(F.col(f"{prefix}{c}") - F.col(c), first).alias(f"__gs_{c}")
-                                              for c in sum_cols])
-        res = res.join(starts, group_col)
-        for c in sum_cols:
-            res = res.withColumn(f"{prefix}{c}", F.col(f"{prefix}{c}") - F.col(f"__gs_{c}"))
-        res = res.drop(*[f"__gs_{c}" for c in sum_cols])
-    return res.drop(_PID, *[f"__off_{c}" for c in sum_cols])
+    group = [] if group_col is None else [group_col]
+    order = list(order_cols)[len(group):]
+    fine = _digits(_number(df, order[0]))
+    cells = {"__c0": F.shiftright(fine, FINE - COARSE), "__c1": fine}
+    for i, c in enumerate(order[1:], 2):
+        if isinstance(df.schema[c].dataType, IntegralType):
+            cells[f"__c{i}"] = F.coalesce(F.shiftright(F.col(c).cast("long"), BLOCK), F.lit(-_LAST))
+    names = list(cells)
+    rows = df.withColumns(cells)
+    sums = [F.sum(c).alias(c) for c in sum_cols]
+    levels = [rows.groupBy(*group, *names).agg(*sums)]  # finest first
+    for k in range(len(names) - 1, 0, -1):
+        levels.append(levels[-1].groupBy(*group, *names[:k]).agg(*sums))
+    heads = None  # what comes before each cell of the level above, as its first row
+    for k, level in enumerate(reversed(levels)):
+        level = level.withColumn("__row", F.lit(1))
+        if heads is not None:
+            level = level.unionByName(heads, allowMissingColumns=True)
+        w = Window.partitionBy(*group, *names[:k]).orderBy("__row", names[k]).rowsBetween(Window.unboundedPreceding, -1)
+        heads = level.select(*group, *names[: k + 1], "__row", *[F.sum(c).over(w).alias(c) for c in sum_cols]).where("__row = 1")
+        heads = heads.withColumn("__row", F.lit(0))
+    rows = rows.withColumn("__row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*group, *names).orderBy("__row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.select(*df.columns, "__row", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{prefix}{c}") for c in sum_cols])
+            .where("__row = 1").drop("__row"))
+
+
+def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str = "row_num") -> DataFrame:
+    """1-based position of each row in the total order ``order_cols`` (end it
+    with a unique key; ties are otherwise broken arbitrarily, as in any sort)."""
+    one = global_cumsum(df.withColumn("__one", F.lit(1).cast("long")), order_cols, ["__one"])
+    return one.withColumnRenamed("cum___one", out).drop("__one")
+
+
+def order_statistics(values: DataFrame, group: Sequence[str], value: str, count: str,
+                     ranks: Callable[[Column], Column]) -> DataFrame:
+    """The values that stand at given ranks, ``(*group, r, value)``: ``ranks``
+    makes of a group's number of rows an array of structs ``r`` with a ``rank``
+    from 1.  ``values`` has one row per (group, value), ``count`` rows each.
+
+    Selection by refinement: counts per coarse cell name the one cell that
+    holds a rank, counts of its fine cells the next, and only the values of those
+    are put in order, so the whole is never sorted.  A group may be null."""
+    group = list(group)
+    digits = _digits(_number(values, value), LEVELS[-1])
+    path = [f"__c{i}" for i in range(len(LEVELS))]
+    rows = values.select(*group, value, count, *[F.shiftright(digits, LEVELS[-1] - d).alias(c) for c, d in zip(path, LEVELS, strict=True)])
+    found = None
+    for k, level in enumerate([*path, value]):
+        keys = [*group, *path[:k]]
+        if found is None:
+            cells = rows.groupBy(*group, level).agg(F.sum(count).alias("__n"))
+            cells = cells.withColumn("__total", F.sum("__n").over(Window.partitionBy(*group))).withColumn("__ranks", ranks(F.col("__total")))
+        else:
+            few = found.withColumnsRenamed({c: f"__f_{c}" for c in keys})  # a few rows per group
+            on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__f_{c}")) for c in keys])
+            cells = rows.join(few, on).groupBy(*keys, level).agg(F.sum(count).alias("__n"), F.first("__ranks").alias("__ranks"))
+        w = Window.partitionBy(*keys).orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = cells.withColumn("__upto", F.sum("__n").over(w))
+        before = F.col("__upto") - F.col("__n")
+        here = F.filter("__ranks", lambda r: (r["rank"] > before) & (r["rank"] <= F.col("__upto")))
+        cells = cells.withColumn("__ranks", here).where(F.size("__ranks") > 0)
+        found = cells.select(*keys, level, F.transform("__ranks", lambda r: r.withField("rank", r["rank"] - before)).alias("__ranks"))
+    return found.select(*group, F.explode("__ranks").alias("r"), F.col(value).alias("value"))
+
+
+def quantile_bounds(values: DataFrame, group: Sequence[str], value: str, count: str, probs: Sequence[float],
+                    method: str = "linear") -> DataFrame:
+    """``(*group, p, lo, hi, frac)``: the two values that quantile p lies between
+    and the share (hundredths for ``exclusive``) of the way."""
+    if method not in ("linear", "exclusive"):
+        raise ValueError(method)
+
+    def ranks(n: Column) -> Column:
+        def of(p: Column) -> Column:
+            if method == "linear":
+                pos = p * (n - 1)
+                lo, hi, frac = F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos)
+            else:
+                i = F.round(p * 100).cast("long") * (n + 1)
+                lo = F.when(n >= 2, F.least(F.greatest(((i - F.pmod(i, F.lit(100))) / 100).cast("long"), F.lit(1)), n - 1))
+                hi, frac = lo + 1, (i - lo * 100).cast("double")
+            return F.array(*[F.struct(p.alias("p"), frac.alias("frac"), F.lit(side).alias("side"), rank.cast("long").alias("rank"))
+                             for side, rank in enumerate((lo, hi))])
+        return F.flatten(F.transform(F.array(*[F.lit(float(x)) for x in probs]), of))
+    hit = order_statistics(values, group, value, count, ranks)
+    side = F.col("r.side")
+    return hit.groupBy(*group, F.col("r.p").alias("p"), F.col("r.frac").alias("frac")).agg(
+        F.max(F.when(side == 0, F.col("value"))).alias("lo"), F.max(F.when(side == 1, F.col("value"))).alias("hi"))
+
+
+def between(lo: Column, hi: Column, frac: Column, method: str = "linear") -> Column:
+    """The quantile between its bounds; ``exclusive`` keeps the operation order of
+    Python's ``statistics.quantiles``."""
+    return lo + (hi - lo) * frac if method == "linear" else (lo * (F.lit(100.0) - frac) + hi * frac) / F.lit(100.0)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
@@ -99,68 +166,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     SQL ``percentile`` / ``quantile_cont``).  ``exclusive``: Python's
     ``statistics.quantiles(method='exclusive')`` cut points, i.e. position
     p*(n+1) clamped to [1, n-1]; ``probs`` must then be multiples of 1/100.
-    Nulls are ignored.  Groups must be schema-bounded (see global_cumsum).
+    Nulls are ignored.
     """
     g = list(group_cols)
-    key = "__g" if not g else None
-    base = df.where(F.col(value_col).isNotNull())
-    if not g:
-        base = base.withColumn("__g", F.lit(0))
-        g = ["__g"]
-    grp = g[0] if len(g) == 1 else "__gk"
-    if len(g) > 1:
-        base = base.withColumn("__gk", F.to_json(F.struct(*g)))
-    # one row per distinct (group, value); kept on disk (no executor heap)
-    # because the running sums and the totals read it
-    vals = base.groupBy(grp, value_col).agg(F.count(F.lit(1)).alias("__c")).persist(StorageLevel.DISK_ONLY)
-    cum = global_cumsum(vals, [grp, value_col], ["__c"], group_col=grp)
-    n = vals.groupBy(grp).agg(F.sum("__c").alias("__n"))
-    p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("p")
-    t = n.select(grp, "__n", p)
-    if method == "linear":
-        pos = F.col("p") * (F.col("__n") - 1)
-        lo = F.floor(pos) + 1
-        hi = F.ceil(pos) + 1
-        t = t.select(grp, "p", lo.cast("long").alias("__rlo"), hi.cast("long").alias("__rhi"),
-                     (pos - F.floor(pos)).alias("__frac"))
-    elif method == "exclusive":
-        i = F.round(F.col("p") * 100).cast("long")
-        m = F.col("__n") + 1
-        j = F.least(F.greatest(((i * m - F.pmod(i * m, F.lit(100))) / 100).cast("long"), F.lit(1)),
-                    F.col("__n") - 1)
-        t = t.where(F.col("__n") >= 2).select(
-            grp, "p", j.alias("__rlo"), (j + 1).alias("__rhi"),
-            (i * m - j * 100).cast("double").alias("__frac"))
-    else:
-        raise ValueError(method)
-    targets = t.select(grp, "p", "__frac", F.explode(F.array(
-        F.struct(F.lit("lo").alias("w"), F.col("__rlo").alias("r")),
-        F.struct(F.lit("hi").alias("w"), F.col("__rhi").alias("r")))).alias("__t"))
-    targets = targets.select(F.col(grp).alias("__tg"), "p", "__frac", F.col("__t.w").alias("__w"),
-                             F.col("__t.r").alias("__r"))
-    # targets: (#groups x #probs x 2) rows -> broadcast; the cumulative table
-    # stays distributed and is streamed through a range condition.
-    if key is not None:  # no grouping: len(probs) * 2 rows, a proven bound
-        targets = F.broadcast(targets)
-    hit = cum.join(targets,
-                   (F.col(grp) == F.col("__tg")) & (F.col("__r") > F.col("cum___c") - F.col("__c"))
-                   & (F.col("__r") <= F.col("cum___c")))
-    hit = hit.select(F.col("__tg").alias(grp), "p", "__frac", "__w", F.col(value_col).alias("__v"))
-    res = hit.groupBy(grp, "p", "__frac").agg(
-        F.max(F.when(F.col("__w") == "lo", F.col("__v"))).alias("__lo"),
-        F.max(F.when(F.col("__w") == "hi", F.col("__v"))).alias("__hi"))
-    if method == "linear":
-        q = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")
-    else:
-        # same operation order as statistics.quantiles: (lo*(n-d) + hi*d) / n
-        q = (F.col("__lo") * (F.lit(100.0) - F.col("__frac")) + F.col("__hi") * F.col("__frac")) / F.lit(100.0)
-    res = res.select(grp, "p", q.alias("q"))
-    if key is not None:
-        return res.drop("__g")
-    if len(g) > 1:
-        res = res.withColumn("__s", F.from_json(grp, base.select(*g).schema.simpleString()))
-        res = res.select(*[F.col(f"__s.{c}").alias(c) for c in g], "p", "q")
-    return res
+    # one row per distinct (group, value), however often it stands
+    vals = df.where(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("__c"))
+    bounds = quantile_bounds(vals, g, value_col, "__c", probs, method)
+    return bounds.select(*g, "p", between(F.col("lo"), F.col("hi"), F.col("frac"), method).alias("q"))
 
 
 def quantile_row(df: DataFrame, value_col: str, probs: Sequence[float], names: Sequence[str],
