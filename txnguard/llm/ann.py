@@ -156,29 +156,30 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95,
                         to.setdefault(x, []).append(c)
                 out += [(i, v, x, cs) for x, cs in to.items()]
             yield pd.DataFrame(out, columns=["query_id", "v", "block", "cells"])
-    asked = stash(placed.filter("q").select("vec_id", "v").mapInPandas(visits, "query_id long, v array<double>, block int, cells array<long>"), "op8-visits")
+    asked = placed.filter("q").select("vec_id", "v").dropDuplicates(["vec_id", "v"]).mapInPandas(visits, "query_id long, v array<double>, block int, cells array<long>")
+    asked = stash(asked.withColumn("query", F.xxhash64("query_id", "v")), "op8-visits")
     load = asked.groupBy("block").agg(F.ceil(F.count("*") / slice_).cast("int").alias("slices"))
     table = spark.createDataFrame([(c, first[c], parts[c]) for c in first], "cell long, first int, parts int")
     at = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     have = (placed.select("vec_id", "v", "cell").join(table, "cell").withColumn("block", at).join(load, "block")
             .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("block", "slice", "cell", "vec_id", "v"))
-    asked = asked.join(load, "block").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int"))
+    asked = asked.join(load, "block").withColumn("slice", F.pmod(F.col("query"), F.col("slices")).cast("int"))
 
     def rerank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
             x = x.sort_values("vec_id")
             ids, cells, m = x["vec_id"].to_numpy(), x["cell"].to_numpy(), _stack(x["v"])
-            for i, v, cs in zip(q["query_id"], q["v"], q["cells"], strict=True):
+            for i, key, v, cs in zip(q["query_id"], q["query"], q["v"], q["cells"], strict=True):
                 at = np.flatnonzero(np.isin(cells, cs) & (ids != i))
                 if len(at):
                     d = np.sqrt(((m[at] - np.asarray(v)) ** 2).sum(1))
                     best = np.lexsort((ids[at], d))[:k]
-                    out += list(zip([i] * len(best), ids[at][best], d[best], strict=True))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    best = (asked.select("block", "slice", "query_id", "v", "cells").groupBy("block", "slice")
-            .cogroup(have.groupBy("block", "slice")).applyInPandas(rerank, "query_id long, vec_id long, score double"))
+                    out += list(zip([i] * len(best), [key] * len(best), ids[at][best], d[best], strict=True))
+        return pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"]).astype({"query_id": "int64", "query": "int64", "vec_id": "int64", "score": "float64"})
+    best = (asked.select("block", "slice", "query_id", "query", "v", "cells").groupBy("block", "slice")
+            .cogroup(have.groupBy("block", "slice")).applyInPandas(rerank, "query_id long, query long, vec_id long, score double"))
     # at most k rows per query and block
     ranked = F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    best = best.groupBy("query_id").agg(ranked.alias("found")).select("query_id", F.posexplode("found").alias("rank", "f"))
+    best = best.groupBy("query_id", "query").agg(ranked.alias("found")).select("query_id", F.posexplode("found").alias("rank", "f"))
     return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")

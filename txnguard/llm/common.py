@@ -3,12 +3,15 @@ hashing over UTF-8 buffers, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,9 +69,37 @@ def fold(key: str, parts: int) -> Column:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType, rows: int = 256) -> DataFrame:
-    """``mapInArrow`` with small batches, so that long texts fit a worker."""
+    """``mapInArrow`` with small batches, so that long texts fit a worker.  A
+    worker that comes from another stage first drops what it kept there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter_stage()
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+_KEPT: dict = {}  # of a worker, for the tasks of one stage
+
+
+def _enter_stage() -> None:
+    stage = TaskContext.get().stageId()
+    if _KEPT.get("stage") != stage:
+        had = len(_KEPT) > 1
+        _KEPT.clear()
+        _KEPT["stage"] = stage
+        if had:
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # give freed pages back where libc can
+            if trim:
+                trim(0)
+
+
+def kept_in_stage(name: str, make: Callable):
+    """What ``make`` gives, kept by a worker for later tasks of the same stage."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def batch(schema: pa.Schema, cols: list) -> pa.RecordBatch:

@@ -79,15 +79,6 @@ def fingerprint_lanes(docs: DataFrame, keys: list[str], texts: dict[str, str]) -
     return g.select(*keys, *(total(i).alias(k) for i, k in enumerate(kinds)))
 
 
-def wrapped(lanes: str) -> Column:
-    """Lanes modulo their powers of two, as signed numbers."""
-    def one(x, i):
-        power = F.when(i < SIGNS, F.lit(1 << 16)).otherwise(F.lit(1 << 32))
-        r = F.pmod(x, power)
-        return F.when((i < SIGNS) & (r >= 1 << 15), r - (1 << 16)).otherwise(r)
-    return F.transform(lanes, one)
-
-
 def as_text(lanes: str) -> Column:
     """Hexadecimal text of a fingerprint: 4 digits a sign lane, 8 an equality lane."""
     return F.array_join(F.transform(lanes, lambda x, i: F.when(i < SIGNS, F.lpad(F.hex(F.pmod(x, F.lit(1 << 16))), 4, "0"))
@@ -101,7 +92,8 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """Estimated generalised Jaccard likeness of two multisets, 0 to 1; exactly
-    1 for equal fingerprints."""
+    1 for equal lanes.  The lanes are whole sums, not yet taken modulo a power,
+    so any number of paragraphs counts."""
     def square(c):
         return F.aggregate(F.slice(c, 1, SIGNS), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     diff = square(F.zip_with(a, b, lambda x, y: x - y))
@@ -159,6 +151,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["range", "r", "doc_id", "n_chars", "edited_sha256"]
     f = fingerprint_lanes(d, keys, {"own": "text", "edit": "edited", "following": "next"})
-    f = f.select("doc_id", "n_chars", "edited_sha256", *(wrapped(c).alias(c) for c in ("own", "edit", "following")))
     return f.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("edit").alias("edited_fingerprint"),
                     likeness("own", "edit").alias("near_edited"), likeness("own", "following").alias("near_next"))

@@ -22,7 +22,6 @@ text is ``und``; repeated rows are each predicted; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +37,6 @@ EXCERPT = 400
 HIDDEN = 8
 #: Labels beyond this number are refused.
 CLASSES = 1000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def squash(a: np.ndarray) -> np.ndarray:
@@ -186,7 +184,7 @@ def _predict(net: ByteNet, langs: list[str], width: int = 2048):
                 np.add.at(total, doc[at], net.pooled(np.ascontiguousarray(x[: lens[at[0]], at]), lens[at]).T)
             total /= np.maximum(np.diff(offsets), 1)[:, None]
             best = total.argmax(1)
-            letter = [bool(t and _LETTER.search(t)) for t in b["text"].to_pylist()]
+            letter = [any(map(str.isalpha, t or "")) for t in b["text"].to_pylist()]
             yield batch(out, [b["doc_id"], b["held_out"], [langs[k] if ok else "und" for k, ok in zip(best, letter, strict=True)],
                               [float(min(1.0, total[i, k])) if letter[i] else 0.0 for i, k in enumerate(best)]])
     return run

@@ -123,14 +123,12 @@ def probabilities(docs: DataFrame, dims: dict[str, Column], targets: dict[str, D
     cols = [level(c).alias(d) for d, c in dims.items()]
     cells = docs.select(*cols, words_in().alias("n")).groupBy(*names).agg(F.sum("n").cast("double").alias("mass"))
     raked = rake(cells, names, targets or {}, **how)
-    raked = raked.withColumn("p", F.least(F.lit(1.0), F.col("factor")))
-    raked = raked.select(F.struct(*names).alias("cell_key"), "factor", "p")
+    raked = raked.select(F.struct(*names).alias("mix_key"), F.col("factor").alias("mix_factor"), F.least(F.lit(1.0), F.col("factor")).alias("mix_p"))
     d = docs.withColumn("mix_cell", F.struct(*cols))
-    d = d.join(raked, d["mix_cell"] == raked["cell_key"], "left").drop("cell_key")
+    d = d.join(raked, d["mix_cell"] == raked["mix_key"], "left").drop(raked["mix_key"])
     # 53 bits of the hash: a number in [0, 1) that depends on the id alone (null is skipped)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), 11) / F.lit(float(1 << 53))
-    d = d.withColumn("mix_kept", u < F.col("p"))
-    return d.withColumnsRenamed({"factor": "mix_factor", "p": "mix_p"})
+    return d.withColumn("mix_kept", u < F.col("mix_p"))
 
 
 def by_source_language_topic() -> dict[str, Column]:

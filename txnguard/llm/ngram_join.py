@@ -18,9 +18,10 @@ documents are linked when the Jaccard similarity of their sets is >= 0.8.
    verified links.
 
 Defined cases: null, empty and blank texts have no shingles and no link (class
-= own id); rows with a null doc_id give no row, as in its SQL; of rows that repeat a doc_id
-one text is taken (smallest hash), so who has such rows passes a key of id and text (as the
-pipeline does); an empty table gives an empty result; extra columns are ignored.
+= own id); rows with a null doc_id give no row, as in its SQL; every other row is
+a document of its own, also where rows repeat an id with one text or several (class ids
+are the ids of rows, so classes may share one then); an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from txnguard.llm.common import U64, batch, components, map_arrow, mix, rolling, stash, text_blocks, words_of
 
@@ -223,22 +225,24 @@ def _join_texts(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, seed: int = 7) -> DataFrame:
-    """``(doc_id, class_id, copy_of, n_links)`` for each document: the smallest
+    """``(doc_id, class_id, copy_of, n_links)`` for each row: the smallest
     id of its component of links, the smallest id with equal words, and the
     number of documents it is linked to (equal texts included)."""
     bands, rows = shape(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     docs = docs.withColumn("ck", F.xxhash64("text"))
-    keys = stash(map_arrow(docs, _content_keys, "doc_id long, ck long, k1 long, k2 long, n_words long")
-                 .groupBy("doc_id").agg(F.min(F.struct("ck", "k1", "k2", "n_words")).alias("k")).select("doc_id", "k.*"), "op2-keys")
+    keys = stash(map_arrow(docs, _content_keys, "doc_id long, ck long, k1 long, k2 long, n_words long"), "op2-keys")
+    # a class of equal words goes on as ``node``, with the text of its smallest (id, hash)
     classes = (keys.filter("n_words > 0").groupBy("k1", "k2")
-               .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")))
-    classes = stash(classes, "op2-classes")
+               .agg(F.min(F.struct("doc_id", "ck", "n_words")).alias("rep"), F.count("*").alias("copies")))
+    classes = stash(classes.select("k1", "k2", F.xxhash64("k1", "k2").alias("node"), F.col("rep.doc_id").alias("copy_of"),
+                                   F.col("rep.ck").alias("ck"), F.col("rep.n_words").alias("n_words"), "copies"), "op2-classes")
 
-    # MinHash of every text (copies give equal rows, dropped by the semi join on ids)
+    # MinHash of every text (copies give equal rows, dropped by the join on representatives)
     sigs = map_arrow(docs, _minhash(n, bands, rows, seed), "doc_id long, ck long, sig binary, keys array<long>")
-    reps = classes.select(F.col("copy_of").alias("doc_id"), "copies").join(keys.select("doc_id", "ck", "n_words"), "doc_id")
-    sigs = stash(sigs.join(reps, ["doc_id", "ck"], "left_semi").dropDuplicates(["doc_id"]), "op2-sigs")
+    reps = classes.select(F.col("copy_of").alias("doc_id"), "ck", "node", "copies", "n_words")
+    sigs = sigs.join(reps.select("doc_id", "ck", "node"), ["doc_id", "ck"]).dropDuplicates(["node"])
+    sigs = stash(sigs.select(F.col("node").alias("doc_id"), "sig", "keys"), "op2-sigs")
     flat = sigs.select("doc_id", F.explode("keys").alias("key"))
     # buckets with the same members give the same forest: one of them goes on
     members = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2)]
@@ -252,16 +256,19 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     clusters = components(forest.distinct())
 
     # verify every pair of a cluster on full shingle sets
-    sized = clusters.join(reps, clusters.node == reps.doc_id).select("doc_id", "ck", "root", "copies", "n_words")
+    sized = clusters.join(reps, "node")
     total = sized.groupBy("root").agg(F.sum("n_words").alias("m"))
-    sized = sized.join(total, "root").drop("n_words").join(docs, ["doc_id", "ck"]).dropDuplicates(["doc_id"])
+    sized = sized.join(total, "root").drop("n_words").join(docs, ["doc_id", "ck"]).dropDuplicates(["node"])
+    sized = sized.withColumn("doc_id", F.col("node"))
     sized = _block_pairs(sized, "m", VERIFY, "root")
     found = stash(sized.select("root", "x", "y", "side", "doc_id", "copies", "text")
                   .groupBy("root", "x", "y").applyInPandas(_verify(n, threshold), "kind string, a long, b long"), "op2-links")
-    links = found.filter("kind = 'n'").groupBy(F.col("a").alias("copy_of")).agg(F.sum("b").alias("near"))
-    verified = components(found.filter("kind = 'e'").select("a", "b")).withColumnRenamed("node", "copy_of")
-    per = classes.join(links, "copy_of", "left").join(verified, "copy_of", "left").select(
-        "k1", "k2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"),
+    links = found.filter("kind = 'n'").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("near"))
+    verified = components(found.filter("kind = 'e'").select("a", "b"))
+    names = verified.join(classes.select("node", "copy_of"), "node").groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    verified = verified.join(names, "root").select("node", "class_id")
+    per = classes.join(links, "node", "left").join(verified, "node", "left").select(
+        "k1", "k2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     full = keys.filter("n_words > 0").join(per, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_links")
     none = keys.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
@@ -269,6 +276,29 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     return full.unionByName(none)
 
 
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """``docs`` without near copies: of each class the row with the smallest
+    (doc_id, hash of text) stays, null ids last.  Rows are told apart by a hash of id
+    and text, so rows without an id and different texts under one id are each
+    judged.  Rows that repeat id and text are one document; of those that differ in
+    other columns the one with the smallest hash of all columns stays.  All columns
+    travel in one struct, so no name can clash."""
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"),
+                    F.xxhash64(*[docs[f"`{c}`"] for c in plain]).alias("whole"))
+    d = d.withColumn("row_key", F.xxhash64("doc_id", "text_key"))
+    classes = ngram_join(d.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "class_id").distinct()
+    d = d.drop("text")
+    # the document that was judged under a key: rows that share the key by chance are kept
+    judged = d.groupBy("row_key").agg(F.min(F.struct("text_key", "doc_id")).alias("judged")).join(classes, "row_key")
+    order = F.struct(F.col("judged.doc_id").isNull(), F.col("judged.doc_id"), F.col("judged.text_key"), F.col("row_key"))
+    kept = judged.groupBy("class_id").agg(F.min_by("row_key", order).alias("row_key")).select("row_key", F.lit(True).alias("kept"))
+    judged = judged.join(kept, "row_key", "left").select("row_key", "judged", "kept")
+    other = ~(F.col("text_key") == F.col("judged.text_key")) | ~F.col("doc_id").eqNullSafe(F.col("judged.doc_id"))
+    d = d.join(judged, "row_key").filter(F.col("kept").isNotNull() | other)
+    return d.groupBy("row_key", "doc_id", "text_key").agg(F.min_by("row", "whole").alias("row")).select("row.*")
+
+
 def _block_pairs(df: DataFrame, size: str, most: int, key: str) -> DataFrame:
     """Deal each group's rows to ``ceil(size/most)`` blocks by a hash of the id
     and send a block once to each pair of blocks it is part of: ``x <= y`` name

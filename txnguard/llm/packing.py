@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnguard.llm.common import batch, map_arrow, stash
+from txnguard.llm.common import batch, kept_in_stage, map_arrow, stash
 
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Arrow, not for the tokenizer
 _TAIL = ".,;:!?&#$%*"  # marks that may stand behind a word's letters; no part of a special token or contraction
@@ -153,14 +153,9 @@ class WordIds:
         return out
 
 
-_IDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """The worker's cache for a tokenizer; later tasks go on with it."""
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+    """The worker's cache for a tokenizer; later tasks of the stage go on with it."""
+    return kept_in_stage(f"word ids {path}", lambda: WordIds(path))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:

@@ -44,7 +44,7 @@ SCALE, ALPHA = 1_000_000_000, 5
 #: counted terms that a task holds before it hands them on
 HELD = 300_000
 #: groups whose baselines one task computes together
-GROUPS_AT_ONCE = 64
+GROUPS_AT_ONCE = 8
 
 #: ASCII letters lower-cased, other ASCII a separator, all else part of a term
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -179,7 +179,7 @@ def shares(docs: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame]:
     return groups.select("lang", "source", "v", "z"), postings
 
 
-def distances(groups: DataFrame, postings: DataFrame, per_block: int = 500_000) -> DataFrame:
+def distances(groups: DataFrame, postings: DataFrame, per_block: int = 100_000) -> DataFrame:
     """``(lang, source, peer, value)`` for all ordered pairs of groups of a language."""
     blocks = postings.groupBy("lang").agg(F.ceil(F.count("*") / per_block).alias("blocks"))
     dealt = postings.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))

@@ -30,13 +30,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnguard.llm.common import stash
+from txnguard.llm.common import map_arrow, stash, unstash
 
 _WORD = re.compile(r"[^\W\d_]+")
 EPS = 0.05
@@ -179,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 12_000, terms: int =
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array([[*x.items()] for x in c], pa.map_(pa.string(), pa.int64()))],
                                              names=["doc_id", "toxic", "bag"])
     # the ids are at most `examples`: sent to the texts instead of shuffling all texts
-    d = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
-    d = stash(d.mapInArrow(bags, "doc_id long, toxic int, bag map<string,bigint>")
+    d = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
+    d = stash(map_arrow(d, bags, "doc_id long, toxic int, bag map<string,bigint>")
               .withColumn("aside", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 0), "op1-bags")
     choose = d.filter("not aside")
     sizes = {r["toxic"]: r["count"] for r in choose.groupBy("toxic").count().collect()}
@@ -202,27 +202,41 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 12_000, terms: int =
                           [{place[t]: c for t, c in r["bag"].items()} for r in rows], idf) if rows else None  # all examples
     model = Scorer(vocabulary, index, k)
 
-    def left_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def left_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             votes = []
-            for i, bag in zip(p["doc_id"], p["bag"], strict=True):
+            for i, bag in zip(p["doc_id"].to_pylist(), p["bag"].to_pylist(), strict=True):
                 known = {model.place[t]: c for t, c in dict(bag).items() if t in model.place}
                 v = model.vote(*model.index.search(known, model.k, int(i))) if known and model.index is not None else None
                 votes.append(None if v is None else round(v, 2))
-            yield pd.DataFrame({"vote": pd.array(votes, "Float64"), "toxic": p["toxic"]})
-    votes = d.filter("aside").select("doc_id", "toxic", "bag").mapInPandas(left_out, "vote double, toxic int").groupBy("vote", "toxic").count().collect()
-    model.calibrate([(None if r["vote"] is None or r["vote"] != r["vote"] else r["vote"], r["toxic"], r["count"]) for r in votes])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), p["toxic"]], names=["vote", "toxic"])
+    votes = map_arrow(d.filter("aside").select("doc_id", "toxic", "bag"), left_out, "vote double, toxic int").groupBy("vote", "toxic").count().collect()
+    model.calibrate([(r["vote"], r["toxic"], r["count"]) for r in votes])
+    unstash(d)
     return model
 
 
-def score(docs: DataFrame, model: Scorer, evidence: int = 3) -> DataFrame:
-    """``docs`` plus ``score``, ``votes`` and ``evidence`` for every text."""
+def keep_below(docs: DataFrame, model: Scorer, limit: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they are,
+    as a written table: the model is then taken from the workers again."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("rest") if len(docs.columns) > 1 else F.struct(F.lit(0)).alias("rest")
+    scored = score(docs.select("text", rest), model, sent=sent).filter(F.col("score") < limit)
+    out = stash(scored.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]), "op1-kept")
+    sent.destroy()
+    return out
+
+
+def score(docs: DataFrame, model: Scorer, evidence: int = 3, sent: Broadcast | None = None) -> DataFrame:
+    """``docs`` plus ``score``, ``votes`` and ``evidence`` for every text;
+    ``sent`` is the model's broadcast, if the caller made it."""
     docs = docs.drop("score", "votes", "evidence")
     added = T._parse_datatype_string(RESULT)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = sent or docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        m.seen = {}
         for b in parts:
             votes, scores, seen = [], [], []
             for t in b["text"].to_pylist():
@@ -235,5 +249,4 @@ def score(docs: DataFrame, model: Scorer, evidence: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(seen, kind)],
                                              names=[*b.schema.names, "score", "votes", "evidence"])
         m.seen = {}  # the worker keeps what was broadcast, not the task's words
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *added.fields]))
