@@ -4,7 +4,6 @@ last, returns the columns of ``documents``."""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,42 +15,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; learns as ``op1`` does, from the labels
     that it may see."""
     labels = read_table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
-    model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).filter("score < 0.7").select(*docs.columns)
+    return toxicity.keep_below(docs, toxicity.fit(docs.select("doc_id", "text"), labels), 0.7)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class, null
-    ids last.  Rows are told apart by a hash of id and text, so rows without an
-    id and different texts under one id are each judged; only rows that repeat
-    both are one document."""
-    d = docs.withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_key"))
-    classes = ngram_join.ngram_join(d.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "class_id")
-    # the document that was judged under a key: rows that share the key by chance are kept
-    judged = d.groupBy("row_key").agg(F.min(F.struct("text_key", "doc_id")).alias("judged"))
-    judged = judged.join(classes, "row_key")
-    order = F.struct(F.col("judged.doc_id").isNull(), F.col("judged.doc_id"), F.col("judged.text_key"), F.col("row_key"))
-    kept = judged.groupBy("class_id").agg(F.min_by("row_key", order).alias("row_key")).select("row_key", F.lit(True).alias("kept"))
-    judged = judged.join(kept, "row_key", "left").select("row_key", "judged", "kept")
-    other = ~(F.col("text_key") == F.col("judged.text_key")) | ~F.col("doc_id").eqNullSafe(F.col("judged.doc_id"))
-    d = d.join(judged, "row_key").filter(F.col("kept").isNotNull() | other)
-    return d.dropDuplicates(["row_key", "doc_id", "text_key"]).select(*docs.columns)
+    ids last."""
+    return ngram_join.one_of_each_class(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark, ``n_chars`` counted anew."""
+    """All documents, secrets replaced by a mark, ``n_chars`` (if there is one)
+    counted anew."""
     out = secrets.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares meet flattened source, language and topic
     marginals."""
-    return mixing.probabilities(docs, mixing.by_source_language_topic()).filter("mix_kept").select(*docs.columns)
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    mixed = mixing.probabilities(docs.select("doc_id", "text", "source", "lang", rest), mixing.by_source_language_topic())
+    return mixed.filter("mix_kept").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens."""
+    import public_tokenizers
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
