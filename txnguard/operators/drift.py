@@ -141,3 +141,45 @@ def top_drifting(report: DataFrame, k: int = 20) -> DataFrame:
     """PSI descending, unknown (null) last; ties by feature name."""
     w = Window.orderBy(F.col("psi").desc_nulls_last(), F.col("feature"))
     return report.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ---------------------------------------------------------------- a kept baseline
+def fit_baseline(baseline: DataFrame, features: Sequence[str], n_bins: int = N_BINS) -> DataFrame:
+    """What later tables are compared with, one row per (feature, cell):
+    ``(feature, is_numeric, lo, hi, edges, cell, e)``; a cell is a bin's number
+    or a category.  To be written once; the baseline's rows aren't read again."""
+    c = collapse(to_long(baseline, features, "baseline"))
+    types = _types(c)
+    shape = types.join(quantile_edges(c.where("x is not null"), n_bins), "feature", "left")
+    return _cells(c.select("feature", "s", "x", F.col("e").alias("n")), shape).withColumnRenamed("n", "e")
+
+
+def _cells(counts: DataFrame, shape: DataFrame) -> DataFrame:
+    """``shape`` with the number of rows in each of its cells; a numeric
+    feature's texts that are no numbers count nowhere."""
+    x = F.least(F.greatest(F.col("x"), F.col("lo")), F.col("hi"))
+    number = F.least(F.size(F.filter("edges", lambda v: v <= x)), F.size("edges") - 1)
+    cell = F.when(F.col("is_numeric"), F.when(F.col("x").isNotNull(), number.cast("string"))).otherwise(F.col("s"))
+    return (counts.join(shape, "feature").withColumn("cell", cell).where("cell is not null")
+            .groupBy("feature", "is_numeric", "lo", "hi", "edges", "cell").agg(F.sum("n").alias("n")))
+
+
+def count_cells(model: DataFrame, table: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``(feature, cell, a)`` of a table by the cells of a kept baseline.  Counts
+    of several tables may be added up."""
+    shape = model.select("feature", "is_numeric", "lo", "hi", "edges").distinct()
+    counts = to_long(table, features, "current").groupBy("feature", "s", "x").agg(F.count("*").alias("n"))
+    return _cells(counts, shape).select("feature", "cell", F.col("n").alias("a"))
+
+
+def psi_of_counts(model: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(feature, psi, is_numeric, status)`` of added-up counts against the
+    baseline; the same numbers as :func:`psi_report` on the rows themselves."""
+    kinds = model.groupBy("feature").agg(F.first("is_numeric").alias("is_numeric"), F.first(F.size("edges") - 1).alias("bins"))
+    both = model.select("feature", "cell", "e").join(counts, ["feature", "cell"], "full").fillna(0, ["e", "a"])
+    total = both.groupBy("feature").agg(F.sum("e").alias("n_e"), F.sum("a").alias("n_a"), F.count("*").alias("k")).join(kinds, "feature")
+    total = total.withColumn("k", F.when(F.col("is_numeric"), F.col("bins")).otherwise(F.col("k")))
+    term = _psi_terms(F.col("e"), F.col("a"), F.col("n_e"), F.col("n_a"), F.col("k"))
+    psi = both.join(total, "feature").groupBy("feature", "is_numeric", "k", "n_e", "n_a").agg(F.sum(term).alias("psi"))
+    psi = psi.withColumn("psi", F.when(F.col("is_numeric") & (F.least("n_e", "n_a") < MIN_ROWS), None).when(F.col("k") < 2, 0.0).otherwise(F.col("psi")))
+    return psi.select("feature", "psi", "is_numeric", status(F.col("psi")).alias("status"))

@@ -20,10 +20,10 @@ def _sides(spark, sf_dir):
     return (t.where(F.col("ts") < cut).select(*FEATURES), t.where(F.col("ts") >= cut).select(*FEATURES))
 
 
-def _long_sql() -> str:
+def _long_sql(features: list[str], baseline: str, current: str) -> str:
     parts = []
-    for side, cond in (("baseline", f"ts < TIMESTAMP '{CUTOFF}'"), ("current", f"ts >= TIMESTAMP '{CUTOFF}'")):
-        for f in FEATURES:
+    for side, cond in (("baseline", baseline), ("current", current)):
+        for f in features:
             expr = "CAST(hour(ts) AS VARCHAR)" if f == "hour" else f"CAST({f} AS VARCHAR)"
             parts.append(f"SELECT '{side}' AS side, '{f}' AS feature, coalesce({expr}, 'nan') AS s, "
                          f"TRY_CAST({expr} AS DOUBLE) AS x FROM txn WHERE {cond}")
@@ -32,7 +32,7 @@ def _long_sql() -> str:
 
 EDGE_PROBS = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"
 
-PSI_SQL = _long_sql() + f""",
+_PSI = f""",
 types AS (SELECT feature, avg(CASE WHEN x IS NOT NULL THEN 1.0 ELSE 0.0 END) > 0.98 AS is_numeric
           FROM lng WHERE side = 'baseline' GROUP BY feature),
 num AS (SELECT l.* FROM lng l JOIN types USING (feature) WHERE is_numeric AND x IS NOT NULL),
@@ -67,6 +67,14 @@ rep AS (SELECT feature, psi, is_numeric,
                CASE WHEN psi IS NULL OR isnan(psi) THEN 'unknown' WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate'
                     ELSE 'significant' END AS status FROM psi JOIN types USING (feature))"""
 
+
+
+def psi_sql(features: list[str], baseline: str, current: str) -> str:
+    """CTEs from ``txn`` to ``rep`` (feature, psi, is_numeric, status) of the rows that meet either condition."""
+    return _long_sql(features, baseline, current) + _PSI
+
+
+PSI_SQL = psi_sql(FEATURES, f"ts < TIMESTAMP '{CUTOFF}'", f"ts >= TIMESTAMP '{CUTOFF}'")
 DRIFT = with_(TXN, PSI_SQL)
 
 

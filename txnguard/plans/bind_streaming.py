@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from txnguard.catalog import query
 from txnguard.operators import aggregates as A
-from txnguard.operators import calibrate, drift, policy, review
+from txnguard.operators import calibrate, policy, review
 from txnguard.oracles import ORACLES, THR, TXN, with_
-from txnguard.sources.tables import XGB_T_HIGH, XGB_T_LOW, txn
+from txnguard.sources.tables import TIME_COMPRESSION, XGB_T_HIGH, XGB_T_LOW, txn
 from txnguard.streaming import jobs
 
 DELAY = "10 minutes"
@@ -104,9 +104,9 @@ VEL_SQL = ORACLES["win_velocity_inclusive"]
 @query("stream_velocity_stateful", VEL_SQL)
 def q_stream_stateful(spark, sf_dir):
     """Exact per-event 5/30/60 trailing counts with bounded per-device state
-    (applyInPandasWithState); equals the batch window operator."""
+    (device, time chunk) state that expires; equals the batch window operator."""
     stream, _ = _stream(spark, sf_dir, "vstate", cols=["txn_id", "device_id", "t", "et"])
-    v = jobs.stateful_velocity(stream.select("txn_id", "device_id", "t"))
+    v = jobs.stateful_velocity(stream, "et", DELAY, seconds_per_unit=TIME_COMPRESSION)
     out = _out(spark, "vstate")
     jobs.run_available(v.writeStream.format("parquet").outputMode("append")
                        .option("path", out + "/data").option("checkpointLocation", out + "/chk"))
@@ -181,10 +181,8 @@ def q_stream_late(spark, sf_dir):
 
     def body(batch, batch_id):
         prev = None
-        try:
+        if jobs.exists(spark, out + "/maxts"):  # not before the first batch
             prev = spark.read.parquet(out + "/maxts").where(F.col("batch_id") < batch_id).agg(F.max("max_et")).first()[0]
-        except Exception:  # noqa: BLE001 -- no earlier batch yet
-            prev = None
         late = F.col("et") < F.lit(prev) if prev is not None else F.lit(False)
         b = batch.withColumn("late", late)
         b.where("late").write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
@@ -204,46 +202,40 @@ SELECT review_id, status, analyst, analyst_decision, notes, round(score_xgb, 6)
 
 @query("stream_review_state", _review_state_sql())
 def q_stream_review(spark, sf_dir):
-    """Review events streamed in four batches; each batch re-folds only the
-    touched reviews and rewrites the state (merge by rewrite)."""
+    """Review events streamed in four batches; each batch folds and writes
+    only the buckets of the reviews that it touches."""
     from txnguard.plans.bind_review import decisions, review_events
     ev = review_events(decisions(spark, sf_dir))
     path = jobs.landing(spark, ev, "revents", "ts", 4)
     stream = jobs.read_stream(spark, path, ev.schema)
     out = _out(spark, "rstate")
-
-    def body(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/events/batch_id={batch_id}")
-        all_ev = spark.read.parquet(f"{out}/events").where(F.col("batch_id") <= batch_id).drop("batch_id")
-        touched = batch.select("review_id").distinct()
-        new_state = review.fold_review_state(all_ev.join(touched, "review_id", "left_semi"))
-        if batch_id > 0:
-            old = spark.read.parquet(f"{out}/state/v={batch_id - 1}")
-            new_state = old.join(touched, "review_id", "left_anti").unionByName(new_state)
-        new_state.write.mode("overwrite").parquet(f"{out}/state/v={batch_id}")
-    jobs.run_available(stream.writeStream.foreachBatch(body).option("checkpointLocation", out + "/chk"))
-    last = max(int(r[0]) for r in spark.read.parquet(f"{out}/state").select("v").distinct().collect())
-    st = spark.read.parquet(f"{out}/state/v={last}")
+    state = jobs.BucketedState(spark, out, "review_id", review.fold_review_state)
+    last = []
+    jobs.run_available(stream.writeStream.foreachBatch(lambda batch, i: last.append(i) if state.apply(batch, i) is not None else None)
+                       .option("checkpointLocation", out + "/chk"))
+    st = state.read(max(last))
     return st.select("review_id", "status", "analyst", "analyst_decision", "notes",
                      A.r6(F.col("score_xgb")).alias("score_xgb"), A.r6(F.col("ae_error")).alias("ae_error"),
                      "ae_bucket", "shap_path", "created", "updated")
 
 
-@query("stream_drift_monitor")
-def q_stream_drift(spark, sf_dir):
-    """PSI of each micro-batch against the static baseline (first half of
-    the month), one report per batch."""
-    stream, t = _stream(spark, sf_dir, "drift")
-    cut = F.lit("2024-01-16").cast("timestamp")
-    feats = ["amount", "k", "event_type"]
-    baseline = t.where(F.col("et") < cut).select(*feats)
-    out = _out(spark, "drift")
+MONITORED = ["amount", "event_type", "k"]
 
-    def body(batch, batch_id):
-        rep = drift.psi_report(baseline, batch.select(*feats), feats)
-        rep.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/report/batch_id={batch_id}")
-    jobs.run_available(stream.writeStream.foreachBatch(body).option("checkpointLocation", out + "/chk"))
-    r = spark.read.parquet(out + "/report")
-    return r.select("batch_id", "feature", A.r6(F.col("psi")).alias("psi"), "status")
+
+def _monitor_sql() -> str:
+    from txnguard.plans.bind_drift import psi_sql
+    parts = [f"SELECT {i} AS batch_id, feature, round(psi, 6) AS psi, status FROM (WITH "
+             + psi_sql(MONITORED, "ts < TIMESTAMP '2024-01-16'", f"txn_id % 4 = {i}") + " SELECT * FROM rep)" for i in range(4)]
+    return with_(TXN) + "\nUNION ALL ".join(parts)
 
 
+@query("stream_drift_monitor", _monitor_sql())
+def q_stream_drift(spark, sf_dir):
+    """PSI of each micro-batch against the baseline (first half of the month),
+    which is read once; batch i holds the rows with txn_id % 4 = i."""
+    stream, t = _stream(spark, sf_dir, "drift", split_col="txn_id")
+    out = _out(spark, "drift")
+    monitor = jobs.DriftMonitor(spark, out, MONITORED)
+    monitor.fit(t.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp")))
+    jobs.run_available(stream.writeStream.foreachBatch(monitor.apply).option("checkpointLocation", out + "/chk"))
+    return monitor.report().select("batch_id", "feature", A.r6(F.col("psi")).alias("psi"), "status")

@@ -9,15 +9,16 @@ under the cluster checkpoint folder (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnguard.operators import drift
 from txnguard.session import ensure_checkpoint_dir
 
 
@@ -26,6 +27,11 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "txnguard-stream", *parts])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def landing(spark: SparkSession, src: DataFrame, name: str, order_col: str | None, n_files: int = 4,
             split_col: str | None = None) -> str:
     """Write ``src`` as ``n_files`` Parquet files appended one after the
@@ -72,36 +78,128 @@ VELOCITY_STATE = T.StructType([T.StructField("ts", T.ArrayType(T.LongType())),
 WINDOWS_S = (300, 1800, 3600)
 
 
-def velocity_state_fn(key, pdfs, state):
-    """Exact trailing counts per device across micro-batches.  State keeps
-    only the events of the last hour (bounded by the longest window), so it
-    never holds a device's whole history."""
+def velocity_state_fn(seconds_per_unit: int):
+    """Exact trailing counts per (device, time chunk) across micro-batches.
+
+    The state keeps the rows that a row not older than the watermark can still
+    count, so it doesn't grow with a device's history; once the watermark has
+    passed the last row by the longest window, a timer removes it.  A late row
+    (behind others, not behind the watermark) counts what has come before it."""
     import numpy as np
-    if state.exists:
-        prev_t, prev_id = state.get
-        t0 = np.asarray(prev_t, dtype=np.int64)
-        i0 = np.asarray(prev_id, dtype=np.int64)
-    else:
-        t0 = np.zeros(0, dtype=np.int64)
-        i0 = np.zeros(0, dtype=np.int64)
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    batch = batch.sort_values(["t", "txn_id"], kind="mergesort")
-    t_all = np.concatenate([t0, batch["t"].to_numpy(np.int64)])
-    id_all = np.concatenate([i0, batch["txn_id"].to_numpy(np.int64)])
-    order = np.lexsort((id_all, t_all))
-    t_all, id_all = t_all[order], id_all[order]
-    pos = {int(v): i for i, v in enumerate(id_all)}
-    out = {"txn_id": batch["txn_id"].to_numpy(np.int64), "device_id": np.full(len(batch), key[0], dtype=np.int64)}
-    idx = np.array([pos[int(v)] for v in batch["txn_id"]], dtype=np.int64)
-    for name, s in zip(("txn_count_5m", "txn_count_30m", "txn_count_60m"), WINDOWS_S):
-        left = np.searchsorted(t_all, batch["t"].to_numpy(np.int64) - s, side="left")
-        out[name] = idx - left + 1
-    keep = t_all >= (t_all.max() - max(WINDOWS_S)) if len(t_all) else np.zeros(0, dtype=bool)
-    state.update((t_all[keep].tolist(), id_all[keep].tolist()))
-    yield pd.DataFrame(out)
-
-
-def stateful_velocity(stream: DataFrame) -> DataFrame:
+    hold = max(WINDOWS_S) * seconds_per_unit * 1000  # event time, ms
+
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        t0, i0 = (np.asarray(x, dtype=np.int64) for x in (state.get if state.exists else ((), ())))
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        t1 = batch["t"].to_numpy(np.int64)
+        t, ids = np.concatenate([t0, t1]), np.concatenate([i0, batch["txn_id"].to_numpy(np.int64)])
+        order = np.lexsort((ids, t))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        t_sorted = t[order]
+        own = batch["own"].to_numpy(bool)
+        out = {"txn_id": ids[len(t0):][own], "device_id": np.full(int(own.sum()), key[0], np.int64)}
+        for name, s in zip(("txn_count_5m", "txn_count_30m", "txn_count_60m"), WINDOWS_S, strict=True):
+            out[name] = place[len(t0):][own] - np.searchsorted(t_sorted, t1[own] - s, side="left") + 1
+        unit = seconds_per_unit * 1000
+        seen = state.getCurrentWatermarkMs()
+        keep = t_sorted * unit + unit > seen - hold
+        state.update((t_sorted[keep].tolist(), ids[order][keep].tolist()))
+        state.setTimeoutTimestamp(max(int(t_sorted[-1]) * unit + unit + hold, seen + 1))
+        yield pd.DataFrame(out)
+    return run
+
+
+def stateful_velocity(stream: DataFrame, et: str = "et", delay: str = "10 minutes", seconds_per_unit: int = 1,
+                      chunk_units: int = 4 * max(WINDOWS_S)) -> DataFrame:
+    """``stream (device_id, txn_id, t, et)``; ``t`` counts units of
+    ``seconds_per_unit`` seconds of the event time ``et``.  The state's key is
+    (device, chunk of ``chunk_units``): the last hour of a chunk's rows also goes
+    to the next one, uncounted, so a hot device is many groups, each bounded in time."""
     from pyspark.sql.streaming.state import GroupStateTimeout
-    return stream.groupBy("device_id").applyInPandasWithState(
-        velocity_state_fn, VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.NoTimeout)
+    t, longest = F.col("t"), max(WINDOWS_S)
+    if chunk_units <= longest:
+        raise ValueError("chunk_units must exceed the longest window")
+    chunk = ((t - F.pmod(t, F.lit(chunk_units))) / chunk_units).cast("long")
+    here, after = F.struct(chunk.alias("chunk"), F.lit(True).alias("own")), F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own"))
+    to = F.when(F.pmod(t, F.lit(chunk_units)) >= chunk_units - longest, F.array(here, after)).otherwise(F.array(here))
+    rows = stream.withWatermark(et, delay).select("device_id", "txn_id", "t", et, F.explode(to).alias("c"))
+    rows = rows.select("device_id", F.col("c.chunk").alias("chunk"), "txn_id", "t", F.col("c.own").alias("own"), et)
+    return rows.groupBy("device_id", "chunk").applyInPandasWithState(
+        velocity_state_fn(seconds_per_unit), VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ---------------------------------------------------------------- state in buckets
+class BucketedState:
+    """A keyed state that is a fold of an event log, kept in hash buckets.
+
+    Every batch appends its events by bucket, folds the logs of the buckets that
+    it touches and writes only those buckets' states.  A manifest per batch says
+    which version of each bucket holds, so old versions are never changed: a
+    replayed batch starts from the manifest before it and gives the same state,
+    and a reader of an older manifest still finds its files."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, fold: Callable[[DataFrame], DataFrame], buckets: int = 64):
+        self.spark, self.path, self.key, self.fold, self.buckets = spark, path, key, fold, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def manifest(self, batch_id: int) -> dict[int, int]:
+        """Version of each bucket after a batch; empty before the first."""
+        if batch_id < 0:
+            return {}
+        return dict(self.spark.read.parquet(f"{self.path}/manifest/batch_id={batch_id}").select("bucket", "version").collect())  # ``buckets`` rows
+
+    def apply(self, batch: DataFrame, batch_id: int) -> list[int]:
+        """Takes in a batch (a ``foreachBatch`` body); returns the touched buckets."""
+        batch = batch.withColumn("bucket", self._bucket())
+        log = f"{self.path}/events"
+        batch.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch_id={batch_id}")
+        touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # at most ``buckets``
+        if touched:
+            events = self.spark.read.option("basePath", log).schema(batch.schema.add("batch_id", T.IntegerType())).parquet(log)
+            events = events.where(F.col("bucket").isin(touched) & (F.col("batch_id") <= batch_id)).drop("batch_id", "bucket")
+            state = self.fold(events).withColumn("bucket", self._bucket())
+            state.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/version={batch_id}")
+        now = self.manifest(batch_id - 1) | dict.fromkeys(touched, batch_id)
+        rows = self.spark.createDataFrame(sorted(now.items()), "bucket int, version int")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch_id={batch_id}")  # ``buckets`` rows
+        return touched
+
+    def read(self, batch_id: int) -> DataFrame:
+        """The state after a batch."""
+        files = [f"{self.path}/state/version={v}" for v in sorted(set(self.manifest(batch_id).values()))]
+        holds = reduce(lambda a, b: a | b, [(F.col("bucket") == b) & (F.col("version") == v) for b, v in self.manifest(batch_id).items()], F.lit(False))
+        return self.spark.read.option("basePath", f"{self.path}/state").parquet(*files).where(holds).drop("bucket", "version")
+
+
+# ---------------------------------------------------------------- drift monitor
+class DriftMonitor:
+    """PSI of each micro-batch, and of all batches so far, against a baseline
+    whose edges and counts are written once.  A batch leaves only its counts per
+    cell; counts of batches add up, and a replayed batch replaces its own."""
+
+    def __init__(self, spark: SparkSession, path: str, features: Sequence[str]):
+        self.spark, self.path, self.features = spark, path, list(features)
+
+    def fit(self, baseline: DataFrame) -> None:
+        drift.fit_baseline(baseline.select(*self.features), self.features).write.mode("overwrite").parquet(f"{self.path}/baseline")
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        model = self.spark.read.parquet(f"{self.path}/baseline")
+        counts = drift.count_cells(model, batch.select(*self.features), self.features)
+        counts.write.mode("overwrite").parquet(f"{self.path}/counts/batch_id={batch_id}")
+
+    def report(self, batch_id: int | None = None, total: bool = False) -> DataFrame:
+        """Of one batch, of each batch, or of all together (``total``)."""
+        model = self.spark.read.parquet(f"{self.path}/baseline")
+        counts = self.spark.read.parquet(f"{self.path}/counts")
+        if total:
+            return drift.psi_of_counts(model, counts.groupBy("feature", "cell").agg(F.sum("a").alias("a")))
+        ids = [batch_id] if batch_id is not None else sorted(r[0] for r in counts.select("batch_id").distinct().collect())
+        parts = [drift.psi_of_counts(model, counts.where(F.col("batch_id") == i).drop("batch_id")).withColumn("batch_id", F.lit(i)) for i in ids]
+        return reduce(DataFrame.unionByName, parts)
