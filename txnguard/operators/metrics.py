@@ -152,50 +152,34 @@ def mcnemar_counts(df: DataFrame, label: str, pred_a: str, pred_b: str) -> DataF
                   F.count_if(ca & ~cb).alias("n01"), F.count_if(~ca & cb).alias("n10"))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularized incomplete beta (modified Lentz)."""
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
 def binom_cdf_half(k: int, n: int) -> float:
-    """P(X <= k) for X ~ Binomial(n, 1/2), exact to double precision."""
+    """P(X <= k) for X ~ Binomial(n, 1/2).
+
+    All chances are taken relative to the middle one: going outward, that of
+    i - 1 is i / (n - i + 1) of that of i, so their logarithms are running sums
+    and the share of the tail in the whole needs no factorial.  The whole is
+    summed as far out as it can matter (some ten standard deviations)."""
     if n <= 0 or k >= n:
         return 1.0
     if k < 0:
         return 0.0
-    if n <= 2000:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + n * math.log(0.5)
-                for i in range(k + 1)]
-        return min(1.0, float(sum(math.exp(v) for v in logs)))
-    # P(X <= k) = I_{1/2}(n - k, k + 1)
-    a, b, x = float(n - k), float(k + 1), 0.5
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log(1 - x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1 - x) / b
+    if 2 * k >= n:
+        return 1.0 - binom_cdf_half(n - k - 1, n)
+    mid = n // 2
+    reach = min(mid, int(10 * math.sqrt(n)) + 50)
+
+    def below(top: int, terms: int) -> np.ndarray:
+        """log of the chances of top - 1, top - 2, ... relative to that of top."""
+        i = np.arange(top, top - terms, -1, dtype=np.float64)
+        return np.cumsum(np.log(i) - np.log(n - i + 1))
+    half = np.exp(below(mid, reach)).sum()  # below the middle; as much lies above it
+    whole = 1.0 + 2.0 * half if n % 2 == 0 else 2.0 * (1.0 + half)
+    if mid - k <= 50_000_000:
+        at_k = float(below(mid, mid - k)[-1]) if k < mid else 0.0
+    else:  # beyond any chance that a double holds for such n
+        return 0.0
+    tail = 1.0 + np.exp(below(k, min(k, reach))).sum() if k else 1.0
+    return min(1.0, float(math.exp(at_k) * tail / whole))
 
 
 def _mcnemar_p(n01: pd.Series, n10: pd.Series) -> pd.Series:
@@ -214,6 +198,24 @@ def mcnemar(df: DataFrame, label: str, pred_a: str, pred_b: str, alpha: float =
         "verdict", F.when(F.col("p_value") < alpha, "significant").otherwise("not significant"))
 
 
+def mcnemar_direction(df: DataFrame, label: str, pred_a: str, pred_b: str, alpha: float = 0.05, small: int = 25) -> DataFrame:
+    """The test that fits the number of discordant pairs, one row: up to
+    ``small`` the exact one (statistic: the smaller count), beyond it chi-squared
+    with continuity correction (1 degree of freedom); and which model is better,
+    ``a``, ``b``, ``neither`` (equal counts) or ``none`` (not significant)."""
+    c = mcnemar_counts(df, label, pred_a, pred_b)
+    a, b = F.col("n01"), F.col("n10")
+    n = a + b
+    gap = F.abs(a - b) - 1
+    statistic = F.when(n <= small, F.least(a, b).cast("double")).otherwise(gap * gap / n)
+    tail = F.pandas_udf(lambda s: s.map(lambda v: math.erfc(math.sqrt(v / 2))), "double")
+    exact = F.pandas_udf(_mcnemar_p, "double")
+    p = F.when(n <= small, exact(a, b)).otherwise(tail(F.coalesce(statistic, F.lit(0.0))))
+    c = c.select("n01", "n10", F.when(n <= small, "exact").otherwise("chi2").alias("test"), r6(statistic).alias("statistic"), p.alias("p"))
+    better = F.when(a > b, "a").when(b > a, "b").otherwise("neither")
+    return c.withColumn("direction", F.when(F.col("p") < alpha, better).otherwise("none")).withColumn("p_value", r6(F.col("p"))).drop("p")
+
+
 def bootstrap_ci(df: DataFrame, label: str, pred_a: str, pred_b: str, n_boot: int = 5000,
                  seed: int = 42, n_tasks: int | None = None) -> DataFrame:
     """Bootstrap of delta precision / recall / F1 (b - a).

@@ -132,6 +132,54 @@ def gbt_train(train: DataFrame, features: str = "features", label: str = "label"
     return gbt.fit(train)
 
 
+# The search space and size.
+SEARCH_GRID = {
+    "maxDepth": [3, 4, 5, 6],
+    "stepSize": [0.01, 0.03, 0.05],
+    "maxIter": [150, 200, 250, 300],
+    "subsamplingRate": [0.8, 0.9, 1.0],
+    "featureSubsetStrategy": ["0.7", "0.8", "1.0"],
+}
+SEARCH_DRAWS = 30
+
+
+def draws(grid: dict[str, list], n_iter: int, seed: int) -> list[dict]:
+    """``n_iter`` distinct settings (all, if there are fewer), the same for one seed."""
+    total = int(np.prod([len(v) for v in grid.values()]))
+    out = []
+    for i in np.random.default_rng(seed).permutation(total)[:n_iter].tolist():
+        setting = {}
+        for name, choices in grid.items():
+            i, k = divmod(i, len(choices))
+            setting[name] = choices[k]
+        out.append(setting)
+    return out
+
+
+def random_search(train: DataFrame, key: str, features: str = "features", label: str = "label", grid: dict[str, list] | None = None,
+                  n_iter: int = SEARCH_DRAWS, folds: int = 3, seed: int = 42, parts: int = 8) -> DataFrame:
+    """Mean average precision over ``folds`` of ``n_iter`` random settings,
+    ``(draw, *grid, cv_average_precision)``.
+
+    A row's fold is a hash of its key, and the rows are dealt and ordered by key
+    before each fit, so the result doesn't depend on how the input is dealt."""
+    from txnguard.operators import metrics
+    grid = grid or SEARCH_GRID
+    x = train.select(key, label, features).repartition(parts, key).sortWithinPartitions(key)
+    x = x.withColumn("__fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds))).persist()
+    out = []
+    for i, setting in enumerate(draws(grid, n_iter, seed)):
+        scores = []
+        for f in range(folds):
+            gbt = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, **setting)
+            s = score(gbt.fit(x.where(F.col("__fold") != f)), x.where(F.col("__fold") == f), "__p")
+            scores.append(metrics.average_precision(s, "__p", label).first()[0] or 0.0)
+        out.append((i, *setting.values(), float(np.mean(scores))))
+    x.unpersist()
+    kinds = {int: "int", float: "double", str: "string"}
+    return train.sparkSession.createDataFrame(out, ", ".join(["draw int", *(f"{n} {kinds[type(v[0])]}" for n, v in grid.items()), "cv_average_precision double"]))
+
+
 def score(model, df: DataFrame, out: str = "p_model") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop(
         "rawPrediction", "probability", "prediction")

@@ -172,6 +172,22 @@ def q_mcnemar(spark, sf_dir):
     return metrics.mcnemar(preds(spark, sf_dir), "label", "pred_xgb", "pred_hybrid")
 
 
+@query("eval_mcnemar_direction", P + """, m AS (
+  SELECT count(*) FILTER (WHERE pred_xgb = label AND pred_hybrid <> label) AS n01,
+         count(*) FILTER (WHERE pred_xgb <> label AND pred_hybrid = label) AS n10 FROM preds),
+b AS (SELECT *, n01 + n10 AS n, least(n01, n10) AS k FROM m),
+e AS (SELECT CASE WHEN max(n) = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+             + n * ln(0.5)))) END AS p FROM b, range(0, CASE WHEN b.n <= 25 THEN b.k + 1 ELSE 1 END) t(i)),
+s AS (SELECT n01, n10, CASE WHEN n <= 25 THEN 'exact' ELSE 'chi2' END AS test,
+        round(CASE WHEN n <= 25 THEN k ELSE (abs(n01 - n10) - 1) * (abs(n01 - n10) - 1) / n END, 6) AS statistic, p FROM b, e)
+SELECT n01, n10, test, CAST(statistic AS DOUBLE) AS statistic,
+       CASE WHEN (test = 'exact' AND p >= 0.05) OR (test = 'chi2' AND statistic <= 3.841458820694124) THEN 'none'
+            WHEN n01 > n10 THEN 'a' WHEN n10 > n01 THEN 'b' ELSE 'neither' END AS direction FROM s""")
+def q_mcnemar_direction(spark, sf_dir):
+    """The test by the number of discordant pairs, and which model is better."""
+    return metrics.mcnemar_direction(preds(spark, sf_dir), "label", "pred_xgb", "pred_hybrid").drop("p_value")
+
+
 @query("eval_bootstrap_ci")
 def q_bootstrap(spark, sf_dir):
     """Resampling statistic: checked against a NumPy computation in tests."""
