@@ -3,6 +3,8 @@ names line up."""
 
 from __future__ import annotations
 
+import pytest
+
 import __spark_entry__ as E
 from tests.conftest import SF001
 
@@ -19,8 +21,20 @@ def test_oracles_subset_of_queries():
     assert len(E.queries()) >= 150
 
 
-def test_every_query_plans(spark):
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_every_query_plans(spark, name):
     """Every registered query resolves its plan on the smallest tables."""
-    for name, fn in E.queries().items():
-        df = fn(spark, SF001)
-        assert df.columns, name
+    assert E.queries()[name](spark, SF001).columns
+
+
+@pytest.mark.parametrize("name", ["agg_describe", "agg_quantile_exclusive", "cal_percentile_thresholds", "drift_report", "eval_roc_auc",
+                                  "explain_reason_details", "flagship_enriched_triage", "join_percentile_vs_baseline", "policy_api",
+                                  "store_review_state", "win_time_split", "win_zscore_pit"])
+def test_no_job_while_planning(spark, name):
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-" + name, name)
+    try:
+        assert E.queries()[name](spark, SF001).columns
+        assert not list(sc.statusTracker().getJobIdsForGroup("plan-" + name))
+    finally:
+        sc.setJobGroup("rest", "")
