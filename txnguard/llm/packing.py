@@ -17,7 +17,7 @@ the buckets' offsets, so a frequent length is never one task) and looks up its
 placement.
 
 Defined cases: null texts count as empty (the end token only); rows that repeat
-a doc_id are packed each; an empty table gives an empty result.
+a doc_id, or have none, are packed each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -241,9 +241,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
                 fix([(big, 1)], n)
                 take(big, n)
             elif mate == room or two <= mate:
+                # fewer pieces make no better pair, so the set goes on to dominate until one of its lengths is used up
                 n = n // 2 if mate == big else min(n, left[mate])
-                if mate != room and two:
-                    n = 1  # what dominates may change with each copy
                 fix([(big, 2)] if mate == big else [(big, 1), (mate, 1)], n)
                 take(big, 2 * n if mate == big else n)
                 if mate != big:
@@ -306,7 +305,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int =
         slots.append((size, seen.get(size, 0), seen.get(size, 0) + n, sequence, k, at))
         seen[size] = slots[-1][2]
     table = spark.createDataFrame(slots, "length long, lo long, hi long, seq long, k long, at long")
-    # bounded: a function of the at most `capacity` distinct lengths, not of the number of pieces
+    # a few placements per distinct length, of which there are at most `capacity`, whatever the number of pieces
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (ranked["r"] >= table["lo"]) & (ranked["r"] < table["hi"]))
     i = F.col("r") - F.col("lo")
     return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32",
