@@ -92,13 +92,13 @@ def feedback_summary(feedback: DataFrame, state: DataFrame) -> DataFrame:
     return by.crossJoin(tot).crossJoin(closed)
 
 
-def export_feedback(state: DataFrame, limit: int = 200) -> DataFrame:
-    """Closed and decided reviews, newest update first, with the label
-    (BLOCK -> 1, APPROVE -> 0).  ``limit`` is the export size (feature)."""
+def export_feedback(state: DataFrame, limit: int | None = None) -> DataFrame:
+    """Closed and decided reviews with the label (BLOCK -> 1, APPROVE -> 0): all
+    of them, or with a ``limit`` (a top-k report) the last updated ones."""
     from txnguard.functions.scalar import outcome_label
     d = state.where((F.col("status") == "closed") & F.col("analyst_decision").isNotNull())
     d = d.withColumn("label", outcome_label("analyst_decision")).where(F.col("label").isNotNull())
-    return d.orderBy(F.col("updated").desc(), F.col("review_id").desc()).limit(limit)
+    return d if limit is None else d.orderBy(F.col("updated").desc(), F.col("review_id").desc()).limit(limit)
 
 
 def review_queue(state: DataFrame, status: str | None = None, limit: int = 200) -> DataFrame:

@@ -41,7 +41,7 @@ def opened_reviews(dec):
     return first_per_key(dec.where(F.col("decision") == "REVIEW"), ["review_id"], ["created", "id"]).select(*dec.columns)
 
 
-def review_events(dec):
+def review_events(dec, named=False):
     """Event log of the opened reviews, generated in one pass: every review
     row emits an array of its events, exploded (no per-event-type rescans)."""
     rv = opened_reviews(dec)
@@ -65,7 +65,8 @@ def review_events(dec):
         ev(every(5), 3, 1800, "rescored", score=F.least(F.lit(1.0), c("score_xgb") + 0.01), err=c("ae_error") * 1.1,
            bucket=c("ae_bucket")),
         ev(every(3), 4, 3600, "closed", decision=F.when(c("label") == 1, "BLOCK").otherwise("APPROVE"),
-           notes=F.lit("closed by analyst")),
+           notes=F.lit("closed by analyst"),
+           analyst=F.when(every(9), F.concat(F.lit("closer_"), F.pmod(c("txn_id"), F.lit(2)).cast("string"))) if named else n),
         ev(every(6), 5, 7200, "assigned", analyst=F.lit("late_analyst"))))
     known = rv.select("review_id", F.explode(events).alias("e")).select("review_id", "e.*")
     unknown_src = dec.where((c("decision") == "APPROVE") & every(50))
@@ -229,6 +230,27 @@ def q_export(spark, sf_dir):
     return e.select("review_id", "analyst_decision", "label", "updated")
 
 
+@query("store_export_feedback_all", ST + """
+SELECT review_id, analyst_decision, CASE upper(trim(analyst_decision)) WHEN 'BLOCK' THEN 1 WHEN 'APPROVE' THEN 0 END AS label,
+       updated FROM st WHERE status = 'closed' AND upper(trim(analyst_decision)) IN ('APPROVE', 'BLOCK')""")
+def q_export_all(spark, sf_dir):
+    """Every labelled review."""
+    return review.export_feedback(state(spark, sf_dir)).select("review_id", "analyst_decision", "label", "updated")
+
+
+NAMED_SQL = STORE_SQL.replace("'closed', NULL, CASE WHEN label", "'closed', CASE WHEN txn_id % 9 = 0 THEN 'closer_' || CAST(txn_id % 2 AS VARCHAR) END, "
+                              "CASE WHEN label").replace(
+    "FILTER (WHERE event_type = 'assigned' AND (fc IS NULL OR ord < fc)) AS analyst",
+    "FILTER (WHERE event_type = 'assigned' AND (fc IS NULL OR ord < fc) OR event_type = 'closed' AND analyst IS NOT NULL) AS analyst")
+
+
+@query("store_close_review_named", with_(TXN, THR, SCORED, NAMED_SQL) + "SELECT review_id, status, analyst, analyst_decision, updated FROM st")
+def q_close_named(spark, sf_dir):
+    """State where some closes name their analyst, who then holds the review."""
+    ev = review_events(decisions(spark, sf_dir), named=True)
+    return review.fold_review_state(ev).select("review_id", "status", "analyst", "analyst_decision", "updated")
+
+
 def snapshots(dec):
     """Feature snapshot table keyed by feature path (one row per written
     snapshot): the exact scored features of the review's decision."""
@@ -308,6 +330,14 @@ def q_registry(spark, sf_dir):
                                                 (F.col("model_version") == F.col("active_version")).alias("is_active"))
 
 
+@query("join_registry_config_newest", ST + """
+, cfg AS (SELECT arg_max(model_version, (created, id)) AS active_version, count(*) AS n_decisions FROM dec2)
+SELECT id, model_version, active_version, model_version = active_version AS is_active FROM dec2, cfg""")
+def q_registry_newest(spark, sf_dir):
+    """As ``join_registry_config``, held against an order that is right for any id."""
+    return q_registry(spark, sf_dir)
+
+
 @query("filter_review_view", ST + """
 SELECT review_id, CASE WHEN analyst_decision IS NULL THEN 'open' WHEN analyst_decision = 'APPROVE' THEN 'approved'
                        WHEN analyst_decision = 'BLOCK' THEN 'blocked' END AS view FROM st""")

@@ -98,6 +98,27 @@ def q_stream_window(spark, sf_dir):
     return spark.read.parquet(out + "/data")
 
 
+@query("stream_velocity_windows", with_(TXN, ET_SQL) + """
+, w AS (SELECT device_id, m.minutes, time_bucket(INTERVAL 5 MINUTE, et) - to_minutes(5 * r.k) AS window_start
+        FROM tm, (VALUES (5), (30)) m(minutes), range(0, 6) r(k) WHERE 5 * r.k < m.minutes)
+SELECT device_id, CAST(minutes AS INTEGER) AS minutes, window_start, window_start + to_minutes(minutes) AS window_end, count(*) AS n
+FROM w, mx WHERE window_start + to_minutes(minutes) <= mx.wm GROUP BY device_id, minutes, window_start""")
+def q_stream_windows(spark, sf_dir):
+    """The 5- and 30-minute counts beside the 60-minute ones, sliding by 5 minutes."""
+    stream, t = _stream(spark, sf_dir, "vwins", cols=["device_id", "t", "et"])
+    parts = []
+    for minutes in (5, 30):
+        out = _out(spark, f"vwin{minutes}")
+        agg = (stream.withWatermark("et", DELAY).groupBy(F.window("et", f"{minutes} minutes", "5 minutes"), "device_id")
+               .agg(F.count(F.lit(1)).alias("n")))
+        jobs.run_available(agg.select("device_id", F.lit(minutes).alias("minutes"), F.col("window.start").alias("window_start"),
+                                      F.col("window.end").alias("window_end"), "n")
+                           .writeStream.format("parquet").outputMode("append")
+                           .option("path", out + "/data").option("checkpointLocation", out + "/chk"))
+        parts.append(spark.read.parquet(out + "/data"))
+    return parts[0].unionByName(parts[1])
+
+
 VEL_SQL = ORACLES["win_velocity_inclusive"]
 
 
