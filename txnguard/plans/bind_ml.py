@@ -16,7 +16,7 @@ from txnguard.operators import aggregates as A
 from txnguard.operators import metrics, ml, policy, shapley, windows
 from txnguard.oracles import SCORED, THR, TXN, with_
 from txnguard.plans.bindings import CHECKOUT_SQL, FEAT_SQL, checkout, features_txn
-from txnguard.sources.tables import XGB_T_HIGH, XGB_T_LOW, read_table
+from txnguard.sources.tables import XGB_T_HIGH, XGB_T_LOW, read_table, txn
 
 NUMERIC = ["amount", "geo_distance_km", "txn_count_5m", "txn_count_60m", "amount_zscore", "avg_amount_50"]
 FLAGS = ["is_new_device", "is_proxy_vpn", "country_mismatch", "night_txn", "weekend_txn"]
@@ -30,11 +30,14 @@ SPLIT_SQL = """sp AS (
 def split_features(spark, sf_dir):
     f = features_txn(spark, sf_dir, [*NUMERIC, *FLAGS]).select("txn_id", "ts", "label", "p_xgb", "billing_country", *NUMERIC,
                                            *[F.col(c).cast("string").alias(c) for c in FLAGS])
-    return windows.time_split(f, ["ts", "txn_id"])
+    split = windows.time_split(txn(spark, sf_dir).select("txn_id", "ts"), ["ts", "txn_id"])  # from the keys alone
+    return f.join(split.select("txn_id", "split"), "txn_id")
 
 
 def model_table(spark, sf_dir):
-    s = split_features(spark, sf_dir)
+    """Model input of all rows.  Fitting reads it once per level of each tree, so
+    it is written once."""
+    s = split_features(spark, sf_dir).checkpoint()
     train = s.where(F.col("split") == "train")
     x, names = ml.column_transformer(train, s, NUMERIC, FLAGS + ["billing_country"])
     return x.select("txn_id", "split", "label", "p_xgb", "features"), names
@@ -101,7 +104,6 @@ SELECT count(*) FILTER (WHERE label = 0) AS neg, count(*) FILTER (WHERE label =
        CASE WHEN count(*) FILTER (WHERE label = 1) > 0 THEN count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1) END
        AS scale_pos_weight FROM txn""")
 def q_class_weight(spark, sf_dir):
-    from txnguard.sources.tables import txn
     return ml.class_weight(txn(spark, sf_dir), "label")
 
 
