@@ -138,8 +138,8 @@ def q_smote_neighbours(spark, sf_dir):
     return n.select("vec_id", (F.col("i") + 1).alias("rank"), F.col("n.id").alias("neighbour"), F.round("n.d", 6).alias("distance"))
 
 
-def _train_gbt(spark, sf_dir, extra_train=None):
-    x, names = model_table(spark, sf_dir)
+def _train_gbt(spark, sf_dir, extra_train=None, table=None):
+    x, names = table or model_table(spark, sf_dir)
     train = x.where(F.col("split") == "train")
     if extra_train is not None:
         train = train.unionByName(extra_train).dropDuplicates(["txn_id"])
@@ -296,11 +296,12 @@ def q_pick(spark, sf_dir):
 def q_retrain(spark, sf_dir):
     """Union the train split with labelled feedback rows (closed reviews of
     the validation period, analyst label), dedupe, refit, evaluate."""
-    x, names = model_table(spark, sf_dir)
+    table = model_table(spark, sf_dir)
+    x, _ = table
     fb = (x.where((F.col("split") == "val") & (F.pmod("txn_id", F.lit(3)) == 0))
           .select("txn_id", "split", "label", "p_xgb", "features"))
-    base, _, _ = _train_gbt(spark, sf_dir)
-    new, _, _ = _train_gbt(spark, sf_dir, extra_train=fb)
+    base, _, _ = _train_gbt(spark, sf_dir, table=table)
+    new, _, _ = _train_gbt(spark, sf_dir, extra_train=fb, table=table)
     test = x.where(F.col("split") == "test")
     rows = None
     for name, m in (("base", base), ("retrained", new)):
