@@ -21,8 +21,8 @@ document's tokens keeps the false-discovery rate; a document's result doesn't
 depend on the other documents but through the text model.
 
 The text model is a chain of characters: counts of neighbours within the short
-runs (below 16) of a bounded sample of texts, those with the smallest hashes,
-added up by Spark, mixed with a fixed prior that keeps letters with letters.
+runs (below 16) of all texts, added up by Spark, mixed with a fixed prior that
+keeps letters with letters.
 
 Defined cases: null and empty texts give no span; each input row gives one
 output row, repeated rows included; positions are code points; where spans of
@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,14 +48,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 KINDS = ("assign", "access", "hex", "random")
 SPANS = "secret_spans array<struct<kind:string,start:bigint,end:bigint>>"
 _HINT = re.compile(r"[:=]")
 LEAST = 16
 #: Battery p-values from here on speak for randomness no more; below the other the token is not random.
 SOUND, BROKEN = 0.05, 1e-4
-#: Share of the sample's own counts in the text model.
+#: Share of the texts' own counts in the text model.
 SEEN = 0.8
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -68,6 +66,7 @@ ALPHABETS = {
 SYMBOLS = _UPPER + _LOWER + _DIGITS + "+/-_"
 _AT = np.full(128, -1)
 _AT[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
+_BYTES = np.concatenate([_AT, np.full(128, -1)])
 _PLACES = {}
 for _name, _a in ALPHABETS.items():
     _p = np.full(len(SYMBOLS), -1)
@@ -92,7 +91,7 @@ class TextModel:
         known /= known.sum(1, keepdims=True)
         pairs = np.zeros(known.shape) if pairs is None else pairs
         seen = pairs.sum(1, keepdims=True)
-        share = SEEN * seen / (seen + 1)  # the rest is for neighbours that the sample hasn't
+        share = SEEN * seen / (seen + 1)  # the rest is for neighbours that the texts haven't
         self.next = np.log(share * pairs / np.maximum(seen, 1) + (1 - share) * known)
         first = seen[:, 0] + 1
         self.first = np.log(first / first.sum())
@@ -102,23 +101,32 @@ class TextModel:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, the number of each pair of neighbours (by place in ``SYMBOLS``)
+    within runs below ``LEAST`` characters."""
+    size = len(SYMBOLS)
     for b in batches:
-        n: Counter = Counter()
+        n = np.zeros(size * size, np.int64)
         for t in b["text"].to_pylist():
-            for run in RUN.findall(t or ""):
-                if len(run) < LEAST:
-                    n.update(zip(run, run[1:], strict=False))
-        yield pa.RecordBatch.from_arrays([pa.array([a + c for a, c in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["pair", "n"])
-
-
-def fit(docs: DataFrame, texts: int = 2000) -> TextModel:
-    """The text model of the ``texts`` texts with the smallest hashes."""
-    sample = docs.select("text", F.xxhash64(F.lit(5), "text").alias("h")).filter("text is not null").orderBy("h").limit(texts).select("text")
-    rows = map_arrow(sample, _pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # pairs of symbols
-    counts = np.zeros((len(SYMBOLS), len(SYMBOLS)))
+            at = _BYTES[np.frombuffer((t or "").encode(), np.uint8)]
+            ends = np.flatnonzero(np.diff(at >= 0, prepend=False, append=False))  # start and end of each run, by turns
+            length = ends[1::2] - ends[::2]
+            inner = np.zeros(len(at) + 1, np.int8)  # 1 at places of short runs but the last of each
+            short = (length > 1) & (length < LEAST)
+            inner[ends[::2][short]] = 1
+            inner[ends[1::2][short] - 1] = -1
+            first = np.flatnonzero(np.cumsum(inner))
+            n += np.bincount(at[first] * size + at[first + 1], minlength=size * size)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["pair", "n"])
+
+
+def fit(docs: DataFrame) -> TextModel:
+    """The text model of all texts."""
+    rows = map_arrow(docs.select("text"), _pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # pairs of symbols
+    counts = np.zeros(len(SYMBOLS) ** 2)
     for r in rows:
-        counts[_AT[ord(r["pair"][0])], _AT[ord(r["pair"][1])]] = r["n"]
-    return TextModel(counts)
+        counts[r["pair"]] = r["n"]
+    return TextModel(counts.reshape(len(SYMBOLS), len(SYMBOLS)))
 
 
 def chi2_tail(x: float, df: int) -> float:
