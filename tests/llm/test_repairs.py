@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from txnguard.llm import ann, common, fingerprint, langid, mixing, ngram_join, packing, registry, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -252,3 +253,17 @@ def test_worker_caches_end_with_their_stage(monkeypatch):
     common._enter_stage()
     assert common.kept_in_stage("x", list) is not a
     common._KEPT.clear()
+
+
+def test_redaction_learns_from_all_texts(spark, monkeypatch):
+    """The pipeline's stage replaces spans by a model of every text, whatever their hashes."""
+    docs = spark.createDataFrame([(i, "z" + "abcd"[i * i * 7 % 11 % 4]) for i in range(2600)], "doc_id long, text string").repartition(3)
+    models = []
+    made = secrets.TextModel
+    monkeypatch.setattr(secrets, "TextModel", lambda *a: models.append(made(*a)) or models[-1])
+    corpus_pipeline.hide_secrets(spark, docs, SF)
+    n = Counter("abcd"[i * i * 7 % 11 % 4] for i in range(2600))
+    counts = np.zeros((len(secrets.SYMBOLS),) * 2)
+    for c, k in n.items():
+        counts[secrets.SYMBOLS.index("z"), secrets.SYMBOLS.index(c)] = k
+    assert np.array_equal(models[0].next, made(counts).next)
