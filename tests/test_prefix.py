@@ -148,3 +148,14 @@ def test_no_job_before_the_action(spark, numbers):
         assert df.columns
     assert not list(sc.statusTracker().getJobIdsForGroup("lazy"))
     sc.setJobGroup("rest", "")
+
+
+def test_rows_dealt_by_key_are_dealt_anew_by_cell(spark):
+    """Rows that come in dealt by key are no reason to do all levels in the same tasks."""
+    df = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("day"), (F.col("id") * 7 % 500).alias("t"))
+    out = prefix.prefix_sums(df.repartition(4, "k"), ["k", "day"], "t", "i", {"n": F.lit(1).cast("long")}, bucket=50)
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(k" in line and "__block" in line for line in executed.splitlines()) >= 2  # the rows, and the last window
+    rows = [(i, i % 3, i % 2, i * 7 % 500) for i in range(2000)]
+    want = {i: sum((u, j) < (t, i) for j, l, e, u in rows if (l, e) == (k, d)) for i, k, d, t in rows[:300]}
+    assert {r.i: r.n for r in out.where("i < 300").collect()} == want

@@ -12,6 +12,9 @@ bucket, and the rows before it in the cell.  Each part is a window of its own:
 * over the rows, partitioned by (key, cell): 2**TIE_BITS at most, for a unique
   whole-number tie key.
 
+The rows are dealt by cell once, before anything else: what made them ends there
+and isn't done again per level, and no task holds all levels of a key, as it
+would if rows dealt by key came in and were taken as dealt well enough.
 Sums of a coarser level join a finer window as a row that stands before all
 others, so no join and no null key is involved.  Everything is lazy and depends
 on the rows alone, not on how they are dealt to tasks.
@@ -46,6 +49,7 @@ def prefix_sums(df: DataFrame, key: Sequence[str], t: str, tie: str, sums: dict[
     ``t`` is a whole number."""
     key, names = list(key), list(sums)
     rows = df.withColumn("__block", _block(df, tie)).withColumns({f"__m_{n}": c for n, c in sums.items()})
+    rows = rows.repartition(*key, t, "__block")
     cells = rows.groupBy(*key, t, "__block").agg(*[F.sum(f"__m_{n}").alias(f"__m_{n}") for n in names])
     cells = cells.withColumn("__bucket", _bucket(F.col(t), bucket))
     buckets = cells.groupBy(*key, "__bucket").agg(*[F.sum(f"__m_{n}").alias(f"__m_{n}") for n in names])
