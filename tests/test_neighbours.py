@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -97,3 +98,26 @@ def test_smote_without_need_or_neighbours(spark, points):
     one = t.where("y = 0").unionByName(t.where("y = 1").limit(1))
     assert ml.smote(one, "f", "y", "id").where("synthetic").count() == 0
     assert ml.smote(t.limit(0), "f", "y", "id").count() == 0
+
+
+def test_rows_are_routed_in_bounded_pieces(monkeypatch):
+    """Rows that must visit all blocks aren't held with all their copies at once."""
+    monkeypatch.setattr(neighbours, "ROUTED", 64)
+    rng = np.random.default_rng(1)
+    pivots = rng.normal(size=(90, 4))
+    names = np.arange(90) << 40
+    rows = pd.DataFrame({"id": np.arange(50), "x": list(rng.normal(size=(50, 4))), "block": names[:50], "within": [np.inf] * 50})
+    parts = list(neighbours.visits(rows, pivots, names, np.arange(90), np.tile([0.0, 9.0], (90, 1))))
+    assert max(map(len, parts)) <= 64
+    got = pd.concat(parts)
+    assert sorted(zip(got["id"], got["block"])) == [(i, b) for i in range(50) for b in names.tolist() if b != names[i]]
+    assert list(neighbours.visits(rows[:0], pivots, names, np.arange(90), np.zeros((90, 2)))) == []
+
+
+def test_small_tables_have_few_cells(spark, monkeypatch):
+    seen = []
+    held = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: seen.append(v) or held(v))
+    df = spark.range(3000).select("id", F.array((F.col("id") * 37 % 3000).cast("double")).alias("x"))
+    assert neighbours.knn(df, "id", "x", 2).count() == 3000
+    assert seen[0].shape == (2, 1)

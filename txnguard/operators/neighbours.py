@@ -2,8 +2,8 @@
 
 A metric index over pivots:
 
-1. ``pivots`` rows, those with the smallest hashes, are the only vectors that the
-   driver sees.  Every row joins the cell of its nearest pivot and keeps its
+1. ``pivots`` rows (fewer in a small table), those with the smallest hashes, are
+   the only vectors that the driver sees.  Every row joins the cell of its nearest pivot and keeps its
    distance ``r`` from it.
 2. Cells are cut into rings by ``r`` and rings that are still too large (equal
    rows, a third of the table perhaps) by a hash of the key, so that a block has
@@ -22,6 +22,8 @@ key and the result depends neither on blocks nor on partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from txnguard.session import ensure_checkpoint_dir
 
 MAX_BLOCKS = 1 << 16
+#: rows to a pivot at least, queries to a block's visit, rows that a routing task gives out at once
+PIVOT_ROWS, VISITS, ROUTED = 2048, 1 << 14, 1 << 13
 _ANSWER = "array<struct<d: double, id: long>>"
 
 
@@ -38,7 +42,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int,
-            rows_at_once: int = 1 << 22) -> list[list[tuple[float, int]]]:
+            rows_at_once: int = 1 << 20) -> list[list[tuple[float, int]]]:
     """The k nearest ``(distance, id)`` among ``rows`` of each query, itself
     (by id) left out."""
     size, most = (rows ** 2).sum(axis=1), 0.0
@@ -66,6 +70,22 @@ def _answers(found: list[list[tuple[float, int]]]) -> list[list[dict]]:
     return [[{"d": d, "id": i} for d, i in row] for row in found]
 
 
+def visits(b: pd.DataFrame, pivots: np.ndarray, names: np.ndarray, cell: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+    """``(block, id, x)`` for each other block that a row has to visit, at most
+    ``ROUTED`` at once, as each carries the vector.  Blocks have a name, a cell
+    and the least and largest ``r``."""
+    out_i, out_b = [], []
+    for i, (q, mine, within) in enumerate(zip(b["x"], b["block"], b["within"], strict=True)):
+        d = np.sqrt(((pivots - np.asarray(q)) ** 2).sum(axis=1))[cell]
+        bound = np.maximum(d - ends[:, 1], ends[:, 0] - d)
+        visit = names[(bound <= within + 1e-9 * (d + ends[:, 1])) & (names != mine)]
+        out_i += [i] * len(visit)
+        out_b += visit.tolist()
+        while len(out_i) >= ROUTED or (out_i and i == len(b) - 1):
+            now, out_i, block, out_b = out_i[:ROUTED], out_i[ROUTED:], out_b[:ROUTED], out_b[ROUTED:]
+            yield pd.DataFrame({"block": block, "id": b["id"].to_numpy()[now], "x": b["x"].to_numpy()[now]})
+
+
 def knn(points: DataFrame, key: str, x: str, k: int, pivots: int = 256, block_rows: int = 16_384, seed: int = 42) -> DataFrame:
     """``(id, neighbours)``, the k nearest other rows of each row, nearest first,
     ties to the smaller key; all others where there are fewer.  ``key`` is a
@@ -73,6 +93,8 @@ def knn(points: DataFrame, key: str, x: str, k: int, pivots: int = 256, block_ro
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     points = points.select(F.col(key).cast("long").alias("id"), F.col(x).alias("x"))
+    n = points.count()
+    pivots = min(pivots, max(1, -(-n // PIVOT_ROWS)))  # a row may have to visit every cell
     draw = F.xxhash64("id", F.lit(seed))
     chosen = points.select("x", draw.alias("h"), "id").orderBy("h", "id").limit(pivots).collect()  # at most ``pivots``
     if not chosen:
@@ -89,7 +111,6 @@ def knn(points: DataFrame, key: str, x: str, k: int, pivots: int = 256, block_ro
             cell = np.argmin((m ** 2).sum(axis=1)[:, None] + (p ** 2).sum(axis=1)[None, :] - 2.0 * m @ p.T, axis=1)
             yield pd.DataFrame({"id": b["id"], "x": b["x"], "cell": cell, "r": np.sqrt(((m - p[cell]) ** 2).sum(axis=1))})
     dealt = points.mapInPandas(assign, "id long, x array<double>, cell long, r double").checkpoint()
-    n = dealt.count()
     rows = max(block_rows, -(-2 * n // MAX_BLOCKS))
     cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("rings"), F.max("r").alias("far"))
     ring = F.when(F.col("far") > 0, F.least(F.floor(F.col("r") / F.col("far") * F.col("rings")), F.col("rings") - 1)).otherwise(0)
@@ -112,19 +133,9 @@ def knn(points: DataFrame, key: str, x: str, k: int, pivots: int = 256, block_ro
         own, f"id long, x array<double>, block long, neighbours {_ANSWER}, within double").checkpoint()
 
     def route(batches):
-        names, cell, ends = held.value
-        p = at.value
         for b in batches:
-            out_i, out_b = [], []
-            for i, (q, mine, within) in enumerate(zip(b["x"], b["block"], b["within"], strict=True)):
-                d = np.sqrt(((p - np.asarray(q)) ** 2).sum(axis=1))[cell]
-                bound = np.maximum(d - ends[:, 1], ends[:, 0] - d)
-                visit = names[(bound <= within + 1e-9 * (d + ends[:, 1])) & (names != mine)]
-                out_i += [i] * len(visit)
-                out_b += visit.tolist()
-            if out_i:
-                yield pd.DataFrame({"block": out_b, "id": b["id"].to_numpy()[out_i], "x": b["x"].to_numpy()[out_i]})
-    slices = max(1, -(-n // (4 * rows)))
+            yield from visits(b, at.value, *held.value)
+    slices = max(1, -(-n // VISITS))
     asked = first.select("id", "x", "block", "within").mapInPandas(route, "block long, id long, x array<double>")
     asked = asked.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)))
     there = dealt.select("block", "id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
