@@ -144,3 +144,27 @@ def test_drift_monitor_equals_reports_on_the_rows(spark, tmp_path):
         union = p if union is None else union.unionByName(p)
     near(monitor.report(total=True), drift.psi_report(base, union, features))
     assert monitor.report().count() == 3 * len(features)
+
+
+@pytest.mark.parametrize("name", ["stream_velocity_window"])
+def test_sliding_windows_are_made_of_dealt_rows(spark, monkeypatch, name):
+    """A batch is one file: its rows are dealt before each goes to its windows, and none is lost."""
+    import __spark_entry__ as E
+    plans = []
+    run = jobs.run_available
+
+    def running(writer):
+        plans.append(writer._df._jdf.queryExecution().analyzed().toString())
+        run(writer)
+    monkeypatch.setattr(jobs, "run_available", running)
+    assert E.queries()[name](spark, "/root/testdata/sf0.001").agg(F.sum("n")).first()[0] > 0
+    for plan in plans:  # the scan is below the dealing, the windows above
+        assert -1 < plan.index("Expand" if "Expand" in plan else "Aggregate") < plan.index("RepartitionByExpression")
+
+
+def test_dealt_rows_per_task(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(1000).select((F.col("id") % 5).alias("device_id"), "id")
+    assert jobs.deal(df, ["device_id", "id"], 10).rdd.getNumPartitions() == n
+    many = jobs.deal(df, ["device_id", "id"], 1000, rows_per_task=1000 // (n + 7))
+    assert many.rdd.getNumPartitions() > n and many.count() == 1000

@@ -87,7 +87,8 @@ FROM w, mx WHERE window_start + INTERVAL 60 MINUTE <= mx.wm GROUP BY device_id,
 def q_stream_window(spark, sf_dir):
     """60-minute windows sliding every 5 minutes per device, append mode:
     a window is emitted once the watermark passes its end."""
-    stream, _ = _stream(spark, sf_dir, "vwin")
+    stream, t = _stream(spark, sf_dir, "vwin", cols=["device_id", "t", "et"])
+    stream = jobs.deal(stream, ["device_id", "et"], t.count())  # a row goes to 12 windows
     agg = (stream.withWatermark("et", DELAY).groupBy(F.window("et", "60 minutes", "5 minutes"), "device_id")
            .agg(F.count(F.lit(1)).alias("n")))
     out = _out(spark, "vwin")

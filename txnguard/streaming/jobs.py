@@ -54,6 +54,14 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def deal(stream: DataFrame, keys: Sequence[str], rows: int, rows_per_task: int = 200_000) -> DataFrame:
+    """``stream`` dealt by ``keys`` before rows are multiplied: a batch is one
+    file, so what follows its scan would run in one task.  ``rows`` is the largest
+    number of rows in a batch."""
+    n = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stream.repartition(max(n, -(-rows // rows_per_task)), *keys)
+
+
 def run_available(writer) -> None:
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
