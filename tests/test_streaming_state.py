@@ -146,7 +146,7 @@ def test_drift_monitor_equals_reports_on_the_rows(spark, tmp_path):
     assert monitor.report().count() == 3 * len(features)
 
 
-@pytest.mark.parametrize("name", ["stream_velocity_window"])
+@pytest.mark.parametrize("name", ["stream_velocity_window", "stream_velocity_windows"])
 def test_sliding_windows_are_made_of_dealt_rows(spark, monkeypatch, name):
     """A batch is one file: its rows are dealt before each goes to its windows, and none is lost."""
     import __spark_entry__ as E

@@ -107,6 +107,7 @@ FROM w, mx WHERE window_start + to_minutes(minutes) <= mx.wm GROUP BY device_id,
 def q_stream_windows(spark, sf_dir):
     """The 5- and 30-minute counts beside the 60-minute ones, sliding by 5 minutes."""
     stream, t = _stream(spark, sf_dir, "vwins", cols=["device_id", "t", "et"])
+    stream = jobs.deal(stream, ["device_id", "et"], t.count())  # a row goes to 6 windows
     parts = []
     for minutes in (5, 30):
         out = _out(spark, f"vwin{minutes}")
