@@ -58,6 +58,42 @@ def test_velocity_state_expires_and_takes_late_rows(spark, tmp_path):
     assert {(r.device_id, r.chunk) for r in left} <= {(1, (day + 40 * HOUR) // (4 * HOUR)), (2, (day + 80 * HOUR) // (4 * HOUR))}
 
 
+def test_velocity_of_devices_that_share_a_bucket(spark, tmp_path):
+    """One group for many devices: a group per device took most of the time."""
+    rng = np.random.default_rng(3)
+    day = 20 * 86_400
+    first = [(i, [None, -1, 7, 0, *range(50, 150)][int(rng.integers(0, 104)) if i % 3 else i % 4], day + int(rng.integers(0, 9 * HOUR))) for i in range(400)]
+    top = max(t for _, _, t in first)
+    late = [(1000 + i, [7, None, 60][i % 3], top - 300 + 7 * i) for i in range(60)]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in (first, late):
+        schema = _land(spark, path, batch)
+    v = jobs.stateful_velocity(jobs.read_stream(spark, path, schema), delay="10 minutes", buckets=2)
+    jobs.run_available(v.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/chk"))
+    got = spark.read.parquet(out + "/data").collect()
+    assert {r.txn_id: (r.txn_count_5m, r.txn_count_30m, r.txn_count_60m) for r in got} == _twin([first, late])
+    keys = spark.read.format("statestore").load(out + "/chk").select("key.bucket", "key.chunk").distinct().count()
+    assert keys <= 3 * 4  # two buckets and the null device, by chunk
+    device = {i: d for i, d, _ in first + late}
+    assert len(got) == 460 and all(r.device_id == device[r.txn_id] for r in got)
+
+
+def test_velocity_of_rows_without_a_time(spark, tmp_path):
+    """As the SQL has it, also where devices share a bucket."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = _land(spark, path, [(1, 7, None), (2, 8, None), (3, 7, None), (4, None, None), (5, 7, None), (6, 7, 20 * 86_400), (7, None, 20 * 86_400)])
+    v = jobs.stateful_velocity(jobs.read_stream(spark, path, schema), delay="10 minutes", buckets=1)
+    jobs.run_available(v.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/chk"))
+    got = {r.txn_id: r.txn_count_60m for r in spark.read.parquet(out + "/data").collect()}
+    assert got == {1: -2, 3: -1, 5: 0, 2: 0, 4: 0, 6: 1, 7: 1}
+
+
+def test_buckets_grow_with_the_rows(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert jobs.device_buckets(spark, 10) == 2 * n
+    assert jobs.device_buckets(spark, 100_000_000) == max(2 * n, 1000)
+
+
 def test_velocity_state_is_bounded_in_time(spark, tmp_path):
     """Rows that no later row can count leave the state while their chunk goes on."""
     path, out = str(tmp_path / "in"), str(tmp_path / "out")

@@ -126,10 +126,10 @@ VEL_SQL = ORACLES["win_velocity_inclusive"]
 
 @query("stream_velocity_stateful", VEL_SQL)
 def q_stream_stateful(spark, sf_dir):
-    """Exact per-event 5/30/60 trailing counts with bounded per-device state
-    (device, time chunk) state that expires; equals the batch window operator."""
-    stream, _ = _stream(spark, sf_dir, "vstate", cols=["txn_id", "device_id", "t", "et"])
-    v = jobs.stateful_velocity(stream, "et", DELAY, seconds_per_unit=TIME_COMPRESSION)
+    """Exact per-event 5/30/60 trailing counts per device, in state of (bucket of
+    devices, time chunk) that expires; equals the batch window operator."""
+    stream, t = _stream(spark, sf_dir, "vstate", cols=["txn_id", "device_id", "t", "et"])
+    v = jobs.stateful_velocity(stream, "et", DELAY, seconds_per_unit=TIME_COMPRESSION, buckets=jobs.device_buckets(spark, t.count()))
     out = _out(spark, "vstate")
     jobs.run_available(v.writeStream.format("parquet").outputMode("append")
                        .option("path", out + "/data").option("checkpointLocation", out + "/chk"))

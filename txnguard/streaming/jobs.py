@@ -81,13 +81,13 @@ def foreach_batch_to(path: str, fn: Callable[[DataFrame, int], DataFrame]):
 VELOCITY_OUT = T.StructType([T.StructField("txn_id", T.LongType()), T.StructField("device_id", T.LongType()),
                              T.StructField("txn_count_5m", T.LongType()), T.StructField("txn_count_30m", T.LongType()),
                              T.StructField("txn_count_60m", T.LongType())])
-VELOCITY_STATE = T.StructType([T.StructField("ts", T.ArrayType(T.LongType())),
-                               T.StructField("ids", T.ArrayType(T.LongType()))])
+VELOCITY_STATE = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("ts", "ids", "devices")])
 WINDOWS_S = (300, 1800, 3600)
 
 
 def velocity_state_fn(seconds_per_unit: int):
-    """Exact trailing counts per (device, time chunk) across micro-batches.
+    """Exact trailing counts per device within (device or bucket of devices, time
+    chunk) across micro-batches.  A null key is the null device.
 
     The state keeps the rows that a row not older than the watermark can still
     count, so it doesn't grow with a device's history; once the watermark has
@@ -100,33 +100,47 @@ def velocity_state_fn(seconds_per_unit: int):
         if state.hasTimedOut:
             state.remove()
             return
-        t0, i0 = (np.asarray(x, dtype=np.int64) for x in (state.get if state.exists else ((), ())))
+        t0, i0, d0 = (np.asarray(x, dtype=np.int64) for x in (state.get if state.exists else ((), (), ())))
         batch = pd.concat(list(pdfs), ignore_index=True)
-        t1 = batch["t"].to_numpy(np.int64)
-        t, ids = np.concatenate([t0, t1]), np.concatenate([i0, batch["txn_id"].to_numpy(np.int64)])
-        order = np.lexsort((ids, t))
+        timeless = pd.isna(key[1])
+        t1, i1, d1 = (batch[c].to_numpy(np.int64) for c in ("t", "txn_id", "device"))
+        if timeless:
+            t1 = np.zeros(len(batch), np.int64)
+        t, ids, devices = np.concatenate([t0, t1]), np.concatenate([i0, i1]), np.concatenate([d0, d1])
+        order = np.lexsort((ids, t, devices))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        t_sorted = t[order]
+        t_sorted, d_sorted = t[order], devices[order]
+        # device (by rank) and time as one number; the times of a chunk lie close together
+        rank = np.cumsum(np.diff(d_sorted, prepend=d_sorted[0]) != 0)
+        low = int(t.min())
+        span = int(t.max()) - low + 1
+        at = rank * span + (t_sorted - low)
         own = batch["own"].to_numpy(bool)
-        out = {"txn_id": ids[len(t0):][own], "device_id": np.full(int(own.sum()), key[0], np.int64)}
+        mine, t_own = place[len(t0):][own], t1[own]
+        device = pd.array([None] * len(mine), "Int64") if pd.isna(key[0]) else d1[own]
+        out = {"txn_id": i1[own], "device_id": device}
         for name, s in zip(("txn_count_5m", "txn_count_30m", "txn_count_60m"), WINDOWS_S, strict=True):
-            out[name] = place[len(t0):][own] - np.searchsorted(t_sorted, t1[own] - s, side="left") + 1
+            first = rank[mine] * span + (span if timeless else np.maximum(t_own - s - low, 0))
+            out[name] = mine - np.searchsorted(at, first, side="left") + 1
         unit = seconds_per_unit * 1000
         seen = state.getCurrentWatermarkMs()
         keep = t_sorted * unit + unit > seen - hold
-        state.update((t_sorted[keep].tolist(), ids[order][keep].tolist()))
-        state.setTimeoutTimestamp(max(int(t_sorted[-1]) * unit + unit + hold, seen + 1))
+        state.update((t_sorted[keep].tolist(), ids[order][keep].tolist(), d_sorted[keep].tolist()))
+        state.setTimeoutTimestamp(max(int(t.max()) * unit + unit + hold, seen + 1))
         yield pd.DataFrame(out)
     return run
 
 
 def stateful_velocity(stream: DataFrame, et: str = "et", delay: str = "10 minutes", seconds_per_unit: int = 1,
-                      chunk_units: int = 4 * max(WINDOWS_S)) -> DataFrame:
+                      chunk_units: int = 4 * max(WINDOWS_S), buckets: int | None = None) -> DataFrame:
     """``stream (device_id, txn_id, t, et)``; ``t`` counts units of
     ``seconds_per_unit`` seconds of the event time ``et``.  The state's key is
     (device, chunk of ``chunk_units``): the last hour of a chunk's rows also goes
-    to the next one, uncounted, so a hot device is many groups, each bounded in time."""
+    to the next one, uncounted, so a hot device is many groups, each bounded in time.
+
+    With ``buckets`` the key is (bucket of devices, chunk): a group costs far more
+    than a row, so that many devices of a few rows each should share one."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     t, longest = F.col("t"), max(WINDOWS_S)
     if chunk_units <= longest:
@@ -134,12 +148,22 @@ def stateful_velocity(stream: DataFrame, et: str = "et", delay: str = "10 minute
     chunk = ((t - F.pmod(t, F.lit(chunk_units))) / chunk_units).cast("long")
     here, after = F.struct(chunk.alias("chunk"), F.lit(True).alias("own")), F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own"))
     to = F.when(F.pmod(t, F.lit(chunk_units)) >= chunk_units - longest, F.array(here, after)).otherwise(F.array(here))
-    rows = stream.withWatermark(et, delay).select("device_id", "txn_id", "t", et, F.explode(to).alias("c"))
-    rows = rows.select("device_id", F.col("c.chunk").alias("chunk"), "txn_id", "t", F.col("c.own").alias("own"), et)
-    return rows.groupBy("device_id", "chunk").applyInPandasWithState(
+    key = "device_id"
+    if buckets is not None:
+        key = "bucket"
+        stream = stream.withColumn(key, F.when(F.col("device_id").isNotNull(), F.pmod(F.xxhash64("device_id"), F.lit(buckets))))
+    rows = stream.withWatermark(et, delay).select(key, F.coalesce("device_id", F.lit(0).cast("long")).alias("device"), "txn_id", "t", et, F.explode(to).alias("c"))
+    rows = rows.select(key, F.col("c.chunk").alias("chunk"), "device", "txn_id", "t", F.col("c.own").alias("own"), et)
+    return rows.groupBy(key, "chunk").applyInPandasWithState(
         velocity_state_fn(seconds_per_unit), VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def device_buckets(spark: SparkSession, rows: int, rows_per_bucket: int = 100_000) -> int:
+    """Buckets of devices for ``rows`` rows in all: some for every task, and so many
+    that a bucket's rows stay bounded as the table grows."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_bucket))
+
+
 # ---------------------------------------------------------------- state in buckets
 class BucketedState:
     """A keyed state that is a fold of an event log, kept in hash buckets.
