@@ -79,6 +79,25 @@ def test_search_is_the_same_for_any_partitioning(fitted):
     assert a == b and len(a) == 2 and all(0 < r.cv_average_precision <= 1 for r in a)
 
 
+def _count_scored(spark, monkeypatch):
+    """Rows scored by ``ml.score`` from here on, each as often as it is."""
+    n, plain = spark.sparkContext.accumulator(0), ml.score
+    seen = F.udf(lambda p: n.add(1) or p, "double").asNondeterministic()
+    monkeypatch.setattr(ml, "score", lambda model, df, out="p_model": plain(model, df, out).withColumn(out, seen(out)))
+    return n
+
+
+def test_search_scores_a_fold_once(spark, fitted, monkeypatch):
+    _, df, _ = fitted
+    fits, plain = [], ml.GBTClassifier.fit
+    monkeypatch.setattr(ml.GBTClassifier, "fit", lambda self, x: fits.append(x.rdd.getNumPartitions()) or plain(self, x))
+    n = _count_scored(spark, monkeypatch)
+    grid = {"maxDepth": [2], "stepSize": [0.1], "maxIter": [2], "subsamplingRate": [0.8], "featureSubsetStrategy": ["0.8"]}
+    ml.random_search(df.where("id < 300"), "id", grid=grid, n_iter=1, parts=2, rows_per_part=60).collect()
+    assert n.value == 300
+    assert fits == [5, 5, 5]  # parts grow with the rows
+
+
 @pytest.mark.parametrize("n", [1, 2, 6, 7, 25, 2001])
 def test_binomial_tail_is_exact(n):
     whole = Fraction(0)
