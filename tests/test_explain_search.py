@@ -98,6 +98,41 @@ def test_search_scores_a_fold_once(spark, fitted, monkeypatch):
     assert fits == [5, 5, 5]  # parts grow with the rows
 
 
+@pytest.mark.parametrize("name,times", [("ml_gbt_train", {"train": 1, "val": 1, "test": 1}), ("ml_retrain_with_feedback", {"test": 2})])
+def test_rows_are_scored_once(spark, monkeypatch, name, times):
+    """Several metrics read the scores; none scores the rows anew."""
+    import __spark_entry__ as E
+    from txnguard.plans import bind_ml
+    monkeypatch.setattr(bind_ml, "GBT_ITER", 2)
+    tables, plain = [], bind_ml.model_table
+    monkeypatch.setattr(bind_ml, "model_table", lambda *a: tables.append(plain(*a)) or tables[-1])
+    n = _count_scored(spark, monkeypatch)
+    E.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    rows = {r["split"]: r["count"] for r in tables[0][0].groupBy("split").count().collect()}
+    assert len(tables) == 1 and n.value == sum(rows[s] * k for s, k in times.items())
+
+
+def test_model_vectors_are_written_once(spark):
+    """Fits and scorings read vectors, they don't assemble them (the explained rows' too)."""
+    from txnguard.plans import bind_ml
+    x, names = bind_ml.model_table(spark, "/root/testdata/sf0.001")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan and "UDF" not in plan
+    assert x.first()["features"].size == len(names)
+
+
+def test_categories_are_read_in_one_pass(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+    df = spark.createDataFrame([(f"c{i % 3}" if i % 4 else None, i % 2 == 0, None) for i in range(60)], "c string, f boolean, e string")
+    assert ml.train_categories(df.mapInPandas(count, df.schema), ["c", "f", "e"]) == {"c": ["c0", "c1", "c2"], "f": ["false", "true"], "e": []}
+    assert n.value == 60 and ml.train_categories(df, []) == {}
+
+
 @pytest.mark.parametrize("n", [1, 2, 6, 7, 25, 2001])
 def test_binomial_tail_is_exact(n):
     whole = Fraction(0)

@@ -44,12 +44,13 @@ def standard_scale(df: DataFrame, stats: DataFrame, cols: Sequence[str], prefix:
 
 def train_categories(train: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     """Sorted distinct train categories per column (metadata: bounded by the
-    columns' cardinality, like the label list of a StringIndexer)."""
-    out = {}
-    for c in cols:
-        vals = [r[0] for r in train.select(F.col(c).cast("string")).distinct().collect()]
-        out[c] = sorted(v for v in vals if v is not None)
-    return out
+    columns' cardinality, like the label list of a StringIndexer), read in one pass."""
+    out = {c: [] for c in cols}
+    if out:
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in out])
+        for c, v in train.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().collect():
+            out[c].append(v)
+    return {c: sorted(vals) for c, vals in out.items()}
 
 
 def onehot(df: DataFrame, categories: dict[str, list[str]], prefix: str = "cat__") -> DataFrame:

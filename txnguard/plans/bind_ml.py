@@ -35,12 +35,12 @@ def split_features(spark, sf_dir):
 
 
 def model_table(spark, sf_dir):
-    """Model input of all rows.  Fitting reads it once per level of each tree, so
-    it is written once."""
+    """Model input of all rows.  Features and vectors are each written once: statistics and
+    categories read the former, every fit and scoring the latter."""
     s = split_features(spark, sf_dir).checkpoint()
     train = s.where(F.col("split") == "train")
     x, names = ml.column_transformer(train, s, NUMERIC, FLAGS + ["billing_country"])
-    return x.select("txn_id", "split", "label", "p_xgb", "features"), names
+    return x.select("txn_id", "split", "label", "p_xgb", "features").checkpoint(), names
 
 
 @query("ml_standard_scale", with_(TXN, FEAT_SQL, SPLIT_SQL) + """
@@ -150,7 +150,7 @@ def _train_gbt(spark, sf_dir, extra_train=None, table=None):
 @query("ml_gbt_train")
 def q_gbt(spark, sf_dir):
     model, x, _ = _train_gbt(spark, sf_dir)
-    s = ml.score(model, x)
+    s = ml.score(model, x).select("split", "label", "p_model").checkpoint()  # scored once, read by six metrics
     out = None
     for split in ("train", "val", "test"):
         part = s.where(F.col("split") == split)
@@ -305,7 +305,7 @@ def q_retrain(spark, sf_dir):
     test = x.where(F.col("split") == "test")
     rows = None
     for name, m in (("base", base), ("retrained", new)):
-        s = ml.score(m, test)
+        s = ml.score(m, test).select("label", "p_model").checkpoint()  # scored once, read by both metrics
         r = metrics.roc_auc(s, "p_model", "label").crossJoin(metrics.average_precision(s, "p_model", "label")) \
             .withColumn("model", F.lit(name))
         rows = r if rows is None else rows.unionByName(r)
