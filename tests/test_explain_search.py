@@ -112,6 +112,30 @@ def test_rows_are_scored_once(spark, monkeypatch, name, times):
     assert len(tables) == 1 and n.value == sum(rows[s] * k for s, k in times.items())
 
 
+SIZES = ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy")
+
+
+@pytest.fixture
+def own_table(spark, monkeypatch):
+    """Queries train on these rows."""
+    from txnguard.plans import bind_ml
+    rng = np.random.default_rng(8)
+    rows = [(i, ("train", "train", "val", "test")[i % 4], int(v[0] > 0), rng.random(), v.tolist()) for i, v in enumerate(rng.normal(size=(120, 2)))]
+    x = spark.createDataFrame(rows, "txn_id long, split string, label int, p_xgb double, a array<double>")
+    x = x.withColumn("features", array_to_vector("a")).drop("a")
+    monkeypatch.setattr(bind_ml, "model_table", lambda *a: (x, ["a", "b"]))
+    return x
+
+
+def test_gbt_train_is_of_the_whole_size(spark, own_table, monkeypatch):
+    from txnguard.plans import bind_ml
+    sizes, plain = [], ml.GBTClassifier.fit
+    monkeypatch.setattr(ml.GBTClassifier, "fit", lambda self, x: sizes.append(tuple(self.getOrDefault(n) for n in SIZES))
+                        or plain(self.copy({self.maxIter: 1}), x))
+    assert {r.split for r in bind_ml.q_gbt(spark, "").collect()} == {"train", "val", "test"}
+    assert sizes == [(300, 6, 0.05, 0.8, "0.8")]
+
+
 def test_model_vectors_are_written_once(spark):
     """Fits and scorings read vectors, they don't assemble them (the explained rows' too)."""
     from txnguard.plans import bind_ml
