@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 from itertools import combinations
+from threading import Barrier
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -136,6 +138,35 @@ def test_gbt_train_is_of_the_whole_size(spark, own_table, monkeypatch):
     assert sizes == [(300, 6, 0.05, 0.8, "0.8")]
 
 
+def _fits_only(monkeypatch, at_fit):
+    """Fits call ``at_fit``, scores and their metric are constants."""
+    monkeypatch.setattr(ml.GBTClassifier, "fit", lambda self, x: at_fit(self))
+    monkeypatch.setattr(ml, "score", lambda model, df, out="p_model": df.withColumn(out, F.lit(0.5)))
+    monkeypatch.setattr(metrics, "average_precision", lambda df, score, label: SimpleNamespace(first=lambda: (0.25,)))
+
+
+def test_search_tries_the_whole_space(spark, own_table, monkeypatch):
+    from txnguard.plans import bind_ml
+    sizes = []
+    _fits_only(monkeypatch, lambda gbt: sizes.append(tuple(gbt.getOrDefault(n) for n in ml.SEARCH_GRID)))
+    rows = bind_ml.q_random_search(spark, "").orderBy("draw").collect()
+    want = [tuple(s.values()) for s in ml.draws(ml.SEARCH_GRID, 30, 42)]
+    assert [(r.max_depth, r.step, r.max_iter, r.subsample, r.col_subsample) for r in rows] == want
+    assert sorted(sizes) == sorted(want * 3) and {r.cv_average_precision for r in rows} == {0.25}
+
+
+def test_small_fits_run_at_once(spark, own_table, monkeypatch):
+    both = Barrier(2, timeout=60)
+    _fits_only(monkeypatch, lambda gbt: both.wait())
+    assert len(ml.random_search(own_table, "txn_id", n_iter=2).collect()) == 2
+
+    def fail(gbt):
+        raise ValueError("no fit")
+    _fits_only(monkeypatch, fail)
+    with pytest.raises(ValueError, match="no fit"):
+        ml.random_search(own_table, "txn_id", n_iter=2)
+
+
 def test_model_vectors_are_written_once(spark):
     """Fits and scorings read vectors, they don't assemble them (the explained rows' too)."""
     from txnguard.plans import bind_ml
